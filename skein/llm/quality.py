@@ -48,6 +48,11 @@ def bad_line(line: Column, separators_per_word: float = 0.25, symbols_per_word:
     )
 
 
+def bind(column: Column, body) -> Column:
+    """let column in body: evaluated once, by a lambda over a one-element array."""
+    return F.get(F.transform(F.array(column), body), F.lit(0))
+
+
 def repeated_words(words: Column, width: int = 5) -> Column:
     """Number of words that lie in a window of `width` words found twice or more in the array.
 
@@ -56,10 +61,6 @@ def repeated_words(words: Column, width: int = 5) -> Column:
     starts = F.sequence(F.lit(0), F.size(words) - F.lit(width))
     hashes = F.transform(starts, lambda i: F.xxhash64(*[F.get(words, i + F.lit(k)) for k in range(width)]))
 
-    def bind(column: Column, body) -> Column:
-        """let column in body: evaluated once, by a lambda over a one-element array."""
-        return F.get(F.transform(F.array(column), body), F.lit(0))
-
     def repeated(pairs: Column) -> Column:
         # a start counts if a neighbour in the order of (hash, start) has its hash
         hit = F.transform(
@@ -107,26 +108,29 @@ def quality_rules(
     words = F.filter(F.split(body, f"[{WS}]+"), lambda w: w != "")
     lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(WORD))
     out = docs.withColumns({"_words": words, "_lines": lines})
-    out = out.withColumns(
-        {
-            "n_words": F.size("_words").cast("long"),
-            "word_chars": F.length(F.array_join("_words", "")).cast("long"),
-            "n_symbols": F.regexp_count(body, F.lit(r"[#*$%&|<>]")).cast("long"),
-            "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "n_repeat_words": repeated_words(F.col("_words")),
-            "_good": F.filter("_lines", lambda x: ~bad_line(x)),
-        }
+    good = bind(
+        F.filter("_lines", lambda x: ~bad_line(x)),
+        lambda g: F.struct(
+            (F.size("_lines") - F.size(g)).cast("long").alias("n_bad_lines"),
+            F.length(F.regexp_replace(F.array_join(g, ""), f"[{WS}]+", "")).cast("long").alias("kept_word_chars"),
+        ),
     )
-    out = out.withColumns(
-        {
-            "n_bad_lines": (F.size("_lines") - F.size("_good")).cast("long"),
-            "kept_word_chars": F.length(F.regexp_replace(F.array_join("_good", ""), f"[{WS}]+", "")).cast("long"),
-        }
+    counts = F.struct(
+        F.size("_words").cast("long").alias("n_words"),
+        F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
+        F.regexp_count(body, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
+        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
+        repeated_words(F.col("_words")).alias("n_repeat_words"),
+        good.alias("good"),
     )
+    # a generator of one row: filters on the counts are not pushed below it, which would repeat the work for each
+    out = out.withColumn("_m", F.explode(F.array(counts)))
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    out = out.withColumns({n: F.col(f"_m.{n}") for n in names} | {n: F.col(f"_m.good.{n}") for n in ("n_bad_lines", "kept_word_chars")})
     out = out.withColumn(
         "base_failed",
         (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words")),
     )
     return out.withColumn(
         "kept", ~F.col("base_failed") & (100 * F.col("kept_word_chars") >= min_kept_percent * F.col("word_chars"))
-    ).drop("_words", "_lines", "_good")
+    ).drop("_words", "_lines", "_m")
