@@ -8,10 +8,13 @@ Added columns that clash with a column of the input replace it.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WS = r"\x20\x09-\x0D"
+#: [\x20\x09-\x0D], one by one: Java matches such a class by a table
+WS = r" \t\n\x0B\f\r"
 WORD = f"[^{WS}]"
 #: Phrases of licence, copyright and notice lines, lower case.
 BOILERPLATE = [
@@ -32,19 +35,28 @@ def bad_line(line: Column, separators_per_word: float = 0.25, symbols_per_word:
     """True for a line that fails the navigation, symbol, boilerplate or punctuation rule.
 
     Navigation: three separators or more, and at least one to four words.  Symbols: at least one of #*$%&<>{} to two
-    words.  Boilerplate: a phrase of BOILERPLATE in a line of up to 30 words.  Punctuation: a line of `long_words`
+    words.  Boilerplate: a phrase of BOILERPLATE in a line of up to 30 words and 600 characters.  Punctuation: a line of `long_words`
     words or more in which no word ends in punctuation at all.
     """
     words = F.regexp_count(line, F.lit(WORD + "+"))
     separators = F.regexp_count(line, F.lit("[|»›·•]"))
     symbols = F.regexp_count(line, F.lit("[#*$%&<>{}]+"))
-    phrase = F.lower(line).rlike("|".join(BOILERPLATE))
+
+    def phrase(lower: Column) -> Column:
+        return reduce(lambda a, b: a | b, [lower.contains(p) for p in BOILERPLATE])
+
     unpunctuated = ~line.rlike(r"[^\x20\x09-\x0D][.!?…:;,。！？؟।](?:[\"'”’»)\]]*)(?:[\x20\x09-\x0D]|$)")
+    # cheap tests first: the others run on few lines
     return (
-        ((separators >= 3) & (separators >= words * separators_per_word))
-        | ((symbols >= 2) & (symbols >= words * symbols_per_word))
-        | (phrase & (words <= 30))
-        | ((words >= long_words) & unpunctuated)
+        (
+            line.rlike("[|»›·•#*$%&<>{}]")
+            & (
+                ((separators >= 3) & (separators >= words * separators_per_word))
+                | ((symbols >= 2) & (symbols >= words * symbols_per_word))
+            )
+        )
+        | ((F.length(line) <= 600) & bind(F.lower(line), phrase) & (words <= 30))
+        | (unpunctuated & (words >= long_words))
     )
 
 
@@ -56,23 +68,28 @@ def bind(column: Column, body) -> Column:
 def repeated_words(words: Column, width: int = 5) -> Column:
     """Number of words that lie in a window of `width` words found twice or more in the array.
 
-    Windows are compared by a 64-bit hash; texts without a repeated window stop after one hash set.
+    Windows are compared by a 64-bit hash (less the bits of a position in texts with repeats); other texts stop after one
+    hash set.
     """
-    starts = F.sequence(F.lit(0), F.size(words) - F.lit(width))
-    hashes = F.transform(starts, lambda i: F.xxhash64(*[F.get(words, i + F.lit(k)) for k in range(width)]))
-
-    def repeated(pairs: Column) -> Column:
-        # a start counts if a neighbour in the order of (hash, start) has its hash
-        hit = F.transform(
-            pairs,
-            lambda x, k: F.when(
-                (F.get(pairs, k - 1)["h"] == x["h"]) | (F.get(pairs, k + 1)["h"] == x["h"]), x["i"]
-            ),
-        )
-        return F.array_sort(F.filter(hit, lambda x: x.isNotNull()))
+    shifted = [words] + [F.slice(words, k + 1, F.size(words)) for k in range(1, width)]
+    zipped = F.transform(F.arrays_zip(*shifted), lambda w: F.xxhash64(w))
+    hashes = F.slice(zipped, 1, F.size(words) - F.lit(width - 1))
 
     def covered(h: Column) -> Column:
-        return bind(F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))), repeated)
+        # hash and start in one long, the start in as many low bits as it needs, so that plain longs are sorted
+        n = F.call_function("shiftleft", F.lit(1).cast("long"), F.length(F.bin(F.size(h).cast("long")))) - 1
+
+        def starts(packed: Column, low: Column) -> Column:
+            def same(a: Column, b: Column) -> Column:
+                return a.bitwiseXOR(b).between(F.lit(0).cast("long"), low)
+
+            hit = F.filter(packed, lambda x, k: same(x, F.get(packed, k - 1)) | same(x, F.get(packed, k + 1)))
+            return F.sort_array(F.transform(hit, lambda x: x.bitwiseAND(low).cast("int")))
+
+        def packed(low: Column) -> Column:
+            return F.sort_array(F.transform(h, lambda x, i: x.bitwiseAND(F.bitwise_not(low)).bitwiseOR(i.cast("long"))))
+
+        return bind(n, lambda low: bind(packed(low), lambda p: starts(p, low)))
 
     def total(at: Column) -> Column:
         n = F.size(at)
@@ -105,7 +122,7 @@ def quality_rules(
     kept: not base_failed, and the lines that pass every rule hold at least min_kept_percent of the word characters.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    words = F.filter(F.split(body, f"[{WS}]+"), lambda w: w != "")
+    words = F.array_remove(F.split(body, f"[{WS}]+"), "")
     lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(WORD))
     out = docs.withColumns({"_words": words, "_lines": lines})
     good = bind(
