@@ -1,0 +1,130 @@
+"""Text expressions for tasks, transcripts and observations."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def slugify(name: Column) -> Column:
+    bare = F.regexp_replace(F.regexp_replace(name, "^/+|/+$", ""), r"\.git$", "")
+    return F.regexp_replace(bare, "[^A-Za-z0-9_.-]+", "__")
+
+
+def project_of(url: Column) -> Column:
+    """owner/name of a GitHub URL, else null."""
+    return F.nullif(F.regexp_extract(url, r"github\.com[:/]([^/]+/[^/]+?)(?:\.git)?/?$", 1), F.lit(""))
+
+
+def middle_shrink(text: Column) -> Column:
+    """Head and tail of a text with the middle replaced by a note: half the length, at least 200 characters."""
+    n = F.length(text)
+    target = F.greatest(F.lit(200), F.floor(n * 0.5)).cast("int")
+    head = F.floor(target * 0.65 / 0.8).cast("int")
+    tail = target - head
+    note = F.concat(F.lit("\n...["), (n - target).cast("string"), F.lit(" chars truncated]...\n"))
+    return F.when(n <= target, text).otherwise(F.concat(F.left(text, head), note, F.right(text, tail)))
+
+
+def truncate_body(text: Column, cap: int = 3000, part: int = 1500) -> Column:
+    """A header up to the first blank line, and a body over cap characters cut to its two ends."""
+    at = F.instr(text, "\n\n")
+    head = F.when(at > 0, F.substr(text, F.lit(1), at + 1)).otherwise(F.lit(""))
+    body = F.when(at > 0, F.substr(text, at + 2)).otherwise(text)
+    short = F.concat(F.left(body, F.lit(part)), F.lit("\n... truncated ...\n"), F.right(body, F.lit(part)))
+    return F.concat(head, F.when(F.length(body) > cap, short).otherwise(body))
+
+
+def clean_observation(text: Column) -> Column:
+    out = F.regexp_replace(text, "\r\n", "\n")
+    out = F.regexp_replace(out, r"(?m)^(?:warnings|unsupported_limits)=.*\n?", "")
+    return F.regexp_replace(out, r"\\{2,}", r"\\")
+
+
+def braces_to_parens(text: Column) -> Column:
+    return F.translate(text, "{}", "()")
+
+
+def as_list(value: Column) -> Column:
+    """A JSON list of strings as an array; null as empty; anything else as the one element it is."""
+    parsed = F.from_json(value, "array<string>")
+    return F.when(value.isNull() | (F.trim(value) == ""), F.array().cast("array<string>")).when(
+        F.trim(value).startswith("[") & parsed.isNotNull(), parsed
+    ).otherwise(F.array(value))
+
+
+def numbered_lines(text: Column) -> Column:
+    """Map of line number to text from a listing of 'n: text' lines."""
+    hit = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"^\s*\d+: "))
+    return F.map_from_entries(
+        F.transform(hit, lambda x: F.struct(F.regexp_extract(x, r"^\s*(\d+): ", 1).cast("int"), F.regexp_extract(x, r"^\s*\d+: (.*)$", 1)))
+    )
+
+
+def render_window(lines: Column, first: Column, last: Column) -> Column:
+    """Lines first..last of a numbered map, numbers right-aligned to the last one's width."""
+    numbers = F.filter(F.sequence(first, last), lambda i: F.element_at(lines, i).isNotNull())
+    width = F.length(F.array_max(numbers).cast("string"))
+    return F.array_join(F.transform(numbers, lambda i: F.concat(F.lpad(i.cast("string"), width, F.lit(" ")), F.lit(": "), F.element_at(lines, i))), "\n")
+
+
+def hunk_ranges(diff: Column) -> Column:
+    """(first, last) source line of every hunk header; a missing count is 1 and an empty range holds one line."""
+    heads = F.filter(F.split(diff, "\n"), lambda x: x.rlike(r"^@@ -\d+(?:,\d+)? \+\d+(?:,\d+)? @@"))
+
+    def span(x: Column) -> Column:
+        start = F.regexp_extract(x, r"^@@ -(\d+)", 1).cast("int")
+        count = F.coalesce(F.nullif(F.regexp_extract(x, r"^@@ -\d+,(\d+)", 1), F.lit("")).cast("int"), F.lit(1))
+        return F.struct(start.alias("first"), (start + F.greatest(count, F.lit(1)) - 1).alias("last"))
+
+    return F.transform(heads, span)
+
+
+def diff_stats(diff: Column) -> Column:
+    lines = F.split(diff, "\n")
+    return F.struct(
+        F.size(F.filter(lines, lambda x: x.startswith("+") & ~x.startswith("+++"))).alias("added"),
+        F.size(F.filter(lines, lambda x: x.startswith("-") & ~x.startswith("---"))).alias("removed"),
+    )
+
+
+def protected_path(path: Column, extra: Column | None = None) -> Column:
+    """Paths that a submission may not change."""
+    parts = F.split(path, "/")
+    base = F.element_at(parts, -1)
+    folders = F.slice(parts, 1, F.size(parts) - 1)
+    #: Fixed values
+    exact = ["django/test/runner.py", "tests/runtests.py"]
+    names = ["conftest.py", "pytest.ini", "tox.ini", "setup.cfg", "noxfile.py", "runtests.py", "sitecustomize.py", "usercustomize.py", "tests.py"]
+    return (
+        (path == "")
+        | path.isin(*exact)
+        | base.isin(*names)
+        | (F.array_contains(extra, path) if extra is not None else F.lit(False))
+        | base.rlike(r"^test_.*\.py$|_test\.py$|\.pth$|\.egg-link$")
+        | F.arrays_overlap(folders, F.array(F.lit("tests"), F.lit("testing_data")))
+    )
+
+
+def test_ids(log: Column) -> Column:
+    """(passed, failed) test ids of a test runner's log."""
+    lines = F.transform(F.split(log, r"\R"), lambda x: F.regexp_replace(F.trim(x), r"\\", "/"))
+    verdict = F.transform(
+        lines,
+        lambda x: F.when(x.rlike(r"^(?:FAILED|ERROR) \S+"), F.struct(F.lit("failed").alias("v"), F.regexp_extract(x, r"^(?:FAILED|ERROR) (\S+)", 1).alias("t")))
+        .when(x.rlike(r"^\S+::\S+ PASSED\b"), F.struct(F.lit("passed").alias("v"), F.regexp_extract(x, r"^(\S+::\S+)", 1).alias("t")))
+        .when(x.rlike(r"^\S+::\S+ (?:FAILED|ERROR)\b"), F.struct(F.lit("failed").alias("v"), F.regexp_extract(x, r"^(\S+::\S+)", 1).alias("t"))),
+    )
+
+    def of(kind: str) -> Column:
+        return F.array_sort(F.array_distinct(F.transform(F.filter(verdict, lambda s: s["v"] == kind), lambda s: s["t"])))
+
+    return F.struct(of("passed").alias("passed"), of("failed").alias("failed"))
+
+
+def head_tail(ids: Column, limit: int, head_cap: int = 2048) -> Column:
+    """The first and last ids of an array over limit, limit in all."""
+    if limit <= 0:
+        return ids
+    head = min(head_cap, limit // 4)
+    return F.when(F.size(ids) <= limit, ids).otherwise(F.concat(F.slice(ids, 1, head), F.slice(ids, -(limit - head), limit - head)))
