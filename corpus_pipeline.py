@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from skein.llm import decontam, jaccard, mixing, quality, tokens
 from skein.llm.queries import tokenizer_path
-from skein.llm.scratch import broadcast_if_small, checkpoint_root, clear_scratch, delete, materialise, ship_package
+from skein.llm.scratch import broadcast_if_small, checkpoint_root, clear_scratch, delete, materialise
+from skein.session import ship_package
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import atexit
-import os
-import shutil
 import tempfile
 import uuid
-import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,25 +53,3 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-_SHIPPED: set[str] = set()
-
-
-def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors, once an application, so tasks can import it wherever it is installed."""
-    app = spark.sparkContext.applicationId
-    if app in _SHIPPED:
-        return
-    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    folder = tempfile.mkdtemp(prefix="skein-ship-")  # the driver's own; Spark serves it to the executors
-    atexit.register(shutil.rmtree, folder, True)
-    path = os.path.join(folder, f"skein-{uuid.uuid4().hex[:8]}.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for top, _, names in os.walk(package):
-            for name in names:
-                if name.endswith(".py"):
-                    full = os.path.join(top, name)
-                    z.write(full, os.path.relpath(full, os.path.dirname(package)))
-    spark.sparkContext.addPyFile(path)
-    _SHIPPED.add(app)
