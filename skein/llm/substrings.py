@@ -60,7 +60,10 @@ def _batch(names, *columns):
 
 
 def repeated_spans(rows: DataFrame, min_words: int) -> DataFrame:
-    """(uid, spans): starts and lengths of the windows that occur earlier, from (uid, text) hash-partitioned by uid."""
+    """(uid, spans): starts and lengths of the windows that occur earlier, from (uid, id, text) hash-partitioned by uid.
+
+    All readers of rows take the same columns, so the texts are shuffled once and the exchange is reused.
+    """
     k = min_words // 2
     w = min_words - k + 1
 
@@ -68,7 +71,7 @@ def repeated_spans(rows: DataFrame, min_words: int) -> DataFrame:
         for batch in batches:
             uid = batch.column(0).to_numpy()
             got = []
-            for i, j, buf, offsets in chunks(batch.column(1)):
+            for i, j, buf, offsets in chunks(batch.column(2)):
                 starts, ends, first = spans(buf, offsets)
                 h = span_hashes(buf, starts, ends)
                 at = anchors(h, first, k, w)
@@ -91,9 +94,9 @@ def repeated_spans(rows: DataFrame, min_words: int) -> DataFrame:
 
     def contest(batches):
         for batch in batches:
-            uid, seeds_at = batch.column(0).to_numpy(), batch.column(2)
+            uid, seeds_at = batch.column(0).to_numpy(), batch.column(3)
             got = []
-            for i, j, buf, offsets in chunks(batch.column(1)):
+            for i, j, buf, offsets in chunks(batch.column(2)):
                 starts, ends, first = spans(buf, offsets)
                 h = span_hashes(buf, starts, ends)
                 part = seeds_at.slice(i, j - i)
@@ -128,11 +131,11 @@ def repeated_spans(rows: DataFrame, min_words: int) -> DataFrame:
                 np.concatenate([np.zeros(len(fu), np.int32), length.astype(np.int32)]),
             )
 
-    texts = rows.select("uid", "text")
+    texts = rows.select("uid", "id", "text")
     found = texts.mapInArrow(seeds, "key long, uid long, at int, c byte")
     found = found.withColumn("total", F.sum("c").over(Window.partitionBy("key"))).where("total > 1 and at >= 0")
     found = found.groupBy("uid").agg(F.collect_list("at").alias("at"))
-    joined = texts.join(found.hint("shuffle_hash"), "uid").select("uid", "text", "at")
+    joined = texts.join(found.hint("shuffle_hash"), "uid").select("uid", "id", "text", "at")
     met = joined.mapInArrow(contest, "key long, uid long, at int, n int")
     earliest = F.min(F.struct("uid", "at")).over(Window.partitionBy("key"))
     lost = met.withColumn("e", earliest).where("n > 0 or e.uid != uid or e.at != at")
@@ -147,7 +150,8 @@ def substring_dedup(docs: DataFrame, min_words: int = 20, id_col: str = "doc_id"
     """
     if min_words < 2:
         raise ValueError("min_words must be at least 2")
-    rows = with_uid(docs, id_col, text_col).repartition(shuffle_partitions(docs.sparkSession), "uid")
+    # no uid is null; said here, it is not inferred for one join alone, which would part the shared exchange
+    rows = with_uid(docs, id_col, text_col).where("uid is not null").repartition(shuffle_partitions(docs.sparkSession), "uid")
     lost = repeated_spans(rows, min_words)
 
     def keep(batches):
