@@ -122,10 +122,13 @@ def repeated_spans(rows: DataFrame, min_words: int) -> DataFrame:
             lu, la = lu[order], la[order]
             head = np.flatnonzero(np.append(True, (lu[1:] != lu[:-1]) | (la[1:] != la[:-1] + 1))) if len(lu) else np.zeros(0, np.int64)
             length = np.diff(np.append(head, len(lu)))
-            fu, fa = u[~later], at[~later]
+            # by document again: neighbours with like ids compress in the shuffle
+            fh, fu, fa = h[~later], u[~later], at[~later]
+            order = np.lexsort((fa, fu))
+            fh, fu, fa = fh[order], fu[order], fa[order]
             yield _batch(
                 ["key", "uid", "at", "n"],
-                np.concatenate([h[~later], _unique_keys(lu[head], la[head])]).view(np.int64),
+                np.concatenate([fh, _unique_keys(lu[head], la[head])]).view(np.int64),
                 np.concatenate([fu, lu[head]]),
                 np.concatenate([fa, la[head]]).astype(np.int32),
                 np.concatenate([np.zeros(len(fu), np.int32), length.astype(np.int32)]),
