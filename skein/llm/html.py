@@ -104,7 +104,7 @@ def blocks(page: str) -> list[tuple[str, bool, bool]]:
             continue
         at = tag.end()
         closing, name, attributes = tag[1], tag[2].lower(), tag[3]
-        if name not in INLINE:
+        if name not in INLINE and name not in ("script", "style"):
             flush()
         if closing:
             if any(t == name for t, _ in stack):
