@@ -28,9 +28,14 @@ from .scratch import materialise, scratch_dir, shuffle_partitions
 from .words import chunks, span_hashes
 
 BLOCK = 1 << 16
-GROUP = 16
+GROUP = 64
 SHARD = 1 << 23
-CACHE = 1 << 20
+CACHE = 3 << 19
+
+#: white space beyond ASCII in UTF-8: its last bytes, and the bytes that may stand before them
+_WIDE_LAST, _WIDE_BEFORE = np.zeros(256, bool), np.zeros(256, bool)
+_WIDE_LAST[[*range(0x80, 0x8B), 0x9F, 0xA0, 0xA8, 0xA9, 0xAF]] = True
+_WIDE_BEFORE[[0xC2, 0x9A, 0x80, 0x81]] = True
 
 MANIFEST = """pid int, shard int, file string, header_start long, header_length long, grp int, n_docs long, n_ids long,
  before_ids long, doc_ids binary, doc_nulls binary, lengths binary, block_sizes binary, word_counts binary,
@@ -75,8 +80,7 @@ class PieceEncoder:
             return np.zeros(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
         prev, prev2 = np.zeros(n, np.uint8), np.zeros(n, np.uint8)
         prev[1:], prev2[2:] = buf[:-1], buf[:-2]
-        # the last bytes of white space beyond ASCII in UTF-8, after the bytes that may stand before them
-        wide = (prev >= 0x80) & np.isin(prev2, [0xC2, 0x9A, 0x80, 0x81]) & np.isin(prev, [*range(0x80, 0x8B), 0x9F, 0xA0, 0xA8, 0xA9, 0xAF])
+        wide = _WIDE_LAST[prev] & _WIDE_BEFORE[prev2]
         cut = (buf == 32) & (prev > 32) & (prev != 127) & ~wide
         cut[offsets[:-1][offsets[:-1] < n]] = True
         starts = np.flatnonzero(cut)
@@ -102,8 +106,11 @@ _encoders: dict[str, PieceEncoder] = {}
 
 def _shard_rows(folder, pid, shard, doc_ids, nulls, lengths, ids):
     """Write one shard and return its manifest rows."""
-    symbols, ranks, counts = np.unique(ids, return_inverse=True, return_counts=True)
-    freq = rans.quantise(counts)
+    counts = np.bincount(ids)
+    symbols = np.flatnonzero(counts)
+    rank_of = np.zeros(len(counts), np.uint32)
+    rank_of[symbols] = np.arange(len(symbols))
+    ranks, freq = rank_of[ids], rans.quantise(counts[symbols])
     ends = np.cumsum(lengths)
     # a block ends with the first document that passes another BLOCK of tokens
     last = np.flatnonzero(np.diff(np.append((ends - lengths) // BLOCK, -1)))
@@ -152,7 +159,7 @@ def write_tokens(
             key = batch.column(0)
             doc_ids = key.fill_null(0).to_numpy(zero_copy_only=False)
             nulls = key.is_null().to_numpy(zero_copy_only=False)
-            for i, j, buf, offsets in chunks(batch.column(1)):
+            for i, j, buf, offsets in chunks(batch.column(1), 1 << 22):
                 ids, lengths = coder.encode(buf, offsets)
                 ids = np.insert(ids, np.cumsum(lengths), end_id)
                 held.append((doc_ids[i:j], nulls[i:j], lengths + 1, ids))
