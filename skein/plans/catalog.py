@@ -314,19 +314,19 @@ def gated_rewards(t):
 MINE = f"case when not ({INFRA}) then l_extendedprice end"
 
 
-@query(f"select l_orderkey, l_linenumber, round(coalesce({MINE} - avg({MINE}) over (partition by l_orderkey), 0), 4) + 0 as advantage from lineitem")
+@query(f"select l_orderkey, l_linenumber, round(coalesce({MINE} - avg({MINE}) over (partition by l_orderkey), 0), 6) + 0 as advantage from lineitem")
 def advantages(t):
     r = rollouts.advantage(t("lineitem"), "l_orderkey", F.col("l_extendedprice"), F.expr(INFRA))
-    return r.select("l_orderkey", "l_linenumber", F.round("advantage", 4).alias("advantage"))
+    return r.select("l_orderkey", "l_linenumber", F.round("advantage", 6).alias("advantage"))
 
 
 @query(
     f"""with s as (select *, {MINE} as m, avg({MINE}) over w as a, stddev_pop({MINE}) over w as s from lineitem window w as (partition by l_orderkey))
-select l_orderkey, l_linenumber, round(coalesce(case when s < 1e-8 then 0 else (m - a) / (s + 1e-8::double) end, 0), 4) + 0 as advantage from s"""
+select l_orderkey, l_linenumber, round(coalesce(case when s < 1e-8 then 0 else (m - a) / (s + 1e-8::double) end, 0), 6) + 0 as advantage from s"""
 )
 def advantages_std(t):
     r = rollouts.advantage(t("lineitem"), "l_orderkey", F.col("l_extendedprice"), F.expr(INFRA), scale=True)
-    return r.select("l_orderkey", "l_linenumber", F.round("advantage", 4).alias("advantage"))
+    return r.select("l_orderkey", "l_linenumber", F.round("advantage", 6).alias("advantage"))
 
 
 @query("select l_orderkey, l_linenumber, round(exp(l_tax - l_discount) - (l_tax - l_discount) - 1, 6) + 0 as kl from lineitem")
