@@ -55,44 +55,32 @@ def source_targets(sizes: DataFrame, weights: list[int], max_copies: float) -> D
     return out.select("source", "source_size", F.least(F.col("_cap"), F.col("_w") * F.col("_at")).alias("target"))
 
 
-def plan_mix(
-    docs: DataFrame,
-    weights: list[int] | None = None,
-    max_copies: int = 3,
-    seed: int = 8,
-    preference: str | None = None,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    source_col: str = "source",
-) -> DataFrame:
-    """One light row a document: id, _key (hash of the text), source, size, source_size, target, copies, taken.
+def _small(df):
+    """One or a few rows a source: broadcast while there are at most 100,000, shuffled beyond."""
+    return broadcast_if_small(df, 100_000)
 
-    preference: a column of positive numbers; a document's expected copies are in proportion to it inside its source,
-    at most max_copies each (the source's total may then stay below its target).
-    """
+
+def _by_source(rows: DataFrame, table: DataFrame, how: str = "inner") -> DataFrame:
+    return rows.join(_small(table.withColumnRenamed("source", "s2")), F.col("source").eqNullSafe(F.col("s2")), how).drop("s2")
+
+
+def _draws(docs: DataFrame, seed: int, preference: str | None, id_col: str, text_col: str, source_col: str, *keep) -> DataFrame:
+    """id, source, size, _key (hash of the text), _pref and the uniform number _u of every row, after the columns to keep."""
     u = (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col("_key").cast("string"))), 1, 12), 16, 10).cast("double") + 0.5) / F.lit(float(2**48))
     light = docs.select(
+        *keep,
         F.col(id_col),
         F.col(source_col).alias("source"),
         F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("size"),
         _text_key(F.col(text_col)).alias("_key"),
         (F.col(preference).cast("double") if preference else F.lit(1.0)).alias("_pref"),
     )
-    light = materialise(light.withColumn("_u", u), "mix-sizes")
-    per_source = light.groupBy("source").agg(
-        F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("_pref")).alias("_prefs")
-    )
-    targets = source_targets(per_source.select("source", "source_size"), weights or [1, 2, 3], max_copies)
-    per_source = materialise(
-        per_source.select(F.col("source").alias("s2"), "_prefs").join(targets, F.col("s2").eqNullSafe(F.col("source"))).drop("s2"), "mix-targets"
-    )
-    key = F.col("source").eqNullSafe(F.col("s2"))
+    return light.withColumn("_u", u)
 
-    def small(df):
-        """One or a few rows a source: broadcast while there are at most 100,000 sources, shuffled beyond."""
-        return broadcast_if_small(df, 100_000)
 
-    rows = light.join(small(per_source.withColumnRenamed("source", "s2")), key).drop("s2")
+def _ranked(light: DataFrame, per_source: DataFrame, max_copies: int) -> DataFrame:
+    """The certain copies _whole, the rank _q of the rest and its bins _b1 and _b2."""
+    rows = _by_source(light, per_source)
     mean = F.least(F.lit(float(max_copies)), F.col("_pref") * F.col("target") / F.col("_prefs"))
     rows = rows.withColumn("_mean", F.when(F.col("size") > 0, mean).otherwise(0.0))
     rows = rows.withColumn("_whole", F.floor("_mean")).withColumn("_p", F.col("_mean") - F.col("_whole"))
@@ -100,6 +88,19 @@ def plan_mix(
     # q / (1 + q) has the order of q and lies in (0, 1)
     rows = rows.withColumn("_q", F.when(F.col("_p") > 0, q / (1 + q)))
     rows = rows.withColumn("_b1", F.floor(F.col("_q") * BINS)).withColumn("_b2", F.floor(F.col("_q") * BINS * BINS) % BINS)
+    return rows
+
+
+def _cuts(light: DataFrame, weights: list[int], max_copies: int) -> tuple[DataFrame, DataFrame]:
+    """One row a source each: sizes and targets; what is needed beyond the certain copies and the bins of the cut."""
+    per_source = light.groupBy("source").agg(
+        F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("_pref")).alias("_prefs")
+    )
+    targets = source_targets(per_source.select("source", "source_size"), weights, max_copies)
+    per_source = materialise(
+        per_source.select(F.col("source").alias("s2"), "_prefs").join(targets, F.col("s2").eqNullSafe(F.col("source"))).drop("s2"), "mix-targets"
+    )
+    rows = _ranked(light, per_source, max_copies)
 
     def cut(binned: DataFrame, bin_col: str, need_col: str) -> DataFrame:
         """The bin of each source in which the running sum passes what is needed; one row a source."""
@@ -109,52 +110,86 @@ def plan_mix(
             F.min(F.struct(F.col(bin_col).alias("b"), F.col("_before").alias("before"))).alias("_c")
         )
 
-    need = rows.groupBy("source").agg(
-        (F.first("target") - F.sum(F.col("size") * F.col("_whole"))).alias("_need")
-    )
+    need = rows.groupBy("source").agg((F.first("target") - F.sum(F.col("size") * F.col("_whole"))).alias("_need"))
     need = materialise(need, "mix-need")
     bins = rows.where("_q is not null").groupBy("source", "_b1").agg(F.sum("size").alias("_words"))
-    bins = bins.join(small(need.withColumnRenamed("source", "s2")), key).drop("s2")
-    first = cut(bins, "_b1", "_need").select(F.col("source").alias("s2"), F.col("_c.b").alias("_cut1"), F.col("_c.before").alias("_before1"))
-    first = materialise(
-        need.join(small(materialise(first, "mix-cut1")), key, "left").drop("s2"), "mix-first"
-    )
-    fine = rows.join(small(first.withColumnRenamed("source", "s2")), key).drop("s2").where("_b1 = _cut1")
+    bins = _by_source(bins, need)
+    first = cut(bins, "_b1", "_need").select("source", F.col("_c.b").alias("_cut1"), F.col("_c.before").alias("_before1"))
+    first = materialise(_by_source(need, materialise(first, "mix-cut1"), "left"), "mix-first")
+    fine = _by_source(rows, first).where("_b1 = _cut1")
     bins = fine.groupBy("source", "_b2").agg(F.sum("size").alias("_words"), F.first(F.col("_need") - F.col("_before1")).alias("_left"))
-    second = cut(bins, "_b2", "_left").select(F.col("source").alias("s2"), F.col("_c.b").alias("_cut2"), (F.col("_c.before")).alias("_before2"))
-    cuts = materialise(first.join(small(materialise(second, "mix-cut2")), key, "left").drop("s2"), "mix-cuts")
-    rows = rows.join(small(cuts.withColumnRenamed("source", "s2")), key, "left").drop("s2")
+    second = cut(bins, "_b2", "_left").select("source", F.col("_c.b").alias("_cut2"), F.col("_c.before").alias("_before2"))
+    cuts = materialise(_by_source(first, materialise(second, "mix-cut2"), "left"), "mix-cuts")
+    return per_source, cuts
 
-    # documents of the last bin, some 1 / 2^24 of a source, in order; one is taken if that brings the sum nearer
-    last = F.col("_b1").eqNullSafe(F.col("_cut1")) & F.col("_b2").eqNullSafe(F.col("_cut2"))
-    order = Window.partitionBy("source").orderBy("_q", id_col, "_key").rowsBetween(Window.unboundedPreceding, -1)
-    edge = rows.where(last & F.col("_q").isNotNull())
-    edge = edge.withColumn("_run", F.col("_before1") + F.col("_before2") + F.coalesce(F.sum("size").over(order), F.lit(0)))
-    edge = edge.withColumn("_extra", (F.col("_run") + F.col("size") / 2 <= F.col("_need")).cast("long"))
-    other = rows.where(~(last & F.col("_q").isNotNull()))
+
+def _decided(light: DataFrame, per_source: DataFrame, cuts: DataFrame, max_copies: int) -> DataFrame:
+    """_last: the row lies in the bin of the cut; _extra: 1 for rows of the bins before."""
+    rows = _by_source(_ranked(light, per_source, max_copies), cuts, "left")
+    last = F.col("_q").isNotNull() & F.col("_b1").eqNullSafe(F.col("_cut1")) & F.col("_b2").eqNullSafe(F.col("_cut2"))
     inside = F.col("_q").isNotNull() & (F.col("_need") > 0) & (
         F.col("_cut1").isNull() | (F.col("_b1") < F.col("_cut1")) | ((F.col("_b1") == F.col("_cut1")) & (F.col("_cut2").isNull() | (F.col("_b2") < F.col("_cut2"))))
     )
-    other = other.withColumn("_extra", inside.cast("long"))
-    out = edge.drop("_run").unionByName(other)
+    return rows.withColumn("_last", last).withColumn("_extra", inside.cast("long"))
+
+
+def _edge(rows: DataFrame, id_col: str) -> DataFrame:
+    """Documents of the last bin, some 1 / 2^24 of a source, in order; one is taken if that brings the sum nearer."""
+    order = Window.partitionBy("source").orderBy("_q", id_col, "_key").rowsBetween(Window.unboundedPreceding, -1)
+    run = F.col("_before1") + F.col("_before2") + F.coalesce(F.sum("size").over(order), F.lit(0))
+    edge = rows.where("_last").withColumn("_run", run)
+    return edge.withColumn("_extra", (F.col("_run") + F.col("size") / 2 <= F.col("_need")).cast("long")).drop("_run")
+
+
+def plan_mix(
+    docs: DataFrame,
+    weights: list[int] | None = None,
+    max_copies: int = 3,
+    seed: int = 8,
+    preference: str | None = None,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+) -> DataFrame:
+    """One light row a document: id, _key (hash of the text), source, size, source_size, target, copies, taken.
+
+    preference: a column of positive numbers; a document's expected copies are in proportion to it inside its source,
+    at most max_copies each (the source's total may then stay below its target).
+    """
+    light = materialise(_draws(docs, seed, preference, id_col, text_col, source_col), "mix-sizes")
+    rows = _decided(light, *_cuts(light, weights or [1, 2, 3], max_copies), max_copies)
+    out = _edge(rows, id_col).unionByName(rows.where(~F.col("_last")))
     copies = (F.col("_whole") + F.col("_extra")).cast("long")
     return out.select(
         F.col(id_col), F.col("_key"), "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken")
     )
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def mix(
+    docs: DataFrame,
+    weights: list[int] | None = None,
+    max_copies: int = 3,
+    seed: int = 8,
+    preference: str | None = None,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+) -> DataFrame:
     """docs with every row as often as the mix takes it, its columns unchanged.
 
-    The plan's rows meet the documents again by id and text hash; a repeated row has equal plans, which are divided
-    among the repeats by taking one plan row each.
+    Every row is decided where it lies, from its own draw and its source's cut, so texts are not shuffled; only the
+    rows of the last bin look their turn up.  Equal repeats in that bin share what the bin gives them, rounded up.
     """
-    plan = plan_mix(docs, id_col=id_col, text_col=text_col, **options)
-    plan = plan.groupBy(id_col, "_key").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
-    plan = materialise(plan.select(F.col(id_col).alias("_id"), F.col("_key").alias("_k2"), "_copies", "_rows"), "mix-plan")
-    key = _text_key(F.col(text_col))
-    kept = plan.where("_copies > 0")
-    out = docs.join(kept, F.col(id_col).eqNullSafe(F.col("_id")) & (key == F.col("_k2")))
-    # equal repeats share the copies; what cannot be divided goes to all of them rounded up only for single rows
-    n = F.when(F.col("_rows") == 1, F.col("_copies")).otherwise(F.ceil(F.col("_copies") / F.col("_rows")))
-    return out.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), n))).select(*[F.col(c) for c in docs.columns])
+    draw = (seed, preference, id_col, text_col, source_col)
+    light = materialise(_draws(docs, *draw), "mix-sizes")
+    per_source, cuts = _cuts(light, weights or [1, 2, 3], max_copies)
+    edge = _edge(_decided(light, per_source, cuts, max_copies), id_col)
+    edge = edge.groupBy(F.col(id_col).alias("_id"), F.col("_key").alias("_k2"), F.col("source").alias("_s2")).agg(
+        F.ceil(F.sum("_extra") / F.count("*")).alias("_turn")
+    )
+    edge = materialise(edge, "mix-edge")
+    rows = _decided(_draws(docs, *draw, F.struct(*docs.columns).alias("_doc")), per_source, cuts, max_copies)
+    same = F.col("_last") & F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_k2")) & F.col("source").eqNullSafe(F.col("_s2"))
+    rows = rows.join(_small(edge), same, "left")
+    n = F.col("_whole") + F.when(F.col("_last"), F.col("_turn")).otherwise(F.col("_extra"))
+    return rows.where(n > 0).withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), n.cast("long")))).select("_doc.*")
