@@ -34,6 +34,7 @@ from .scratch import broadcast_if_small, materialise
 from .words import chunks, mix, span_hashes, spans, windows
 
 FOLD = 512
+SEEN = 1 << 17
 
 
 def row_sets(buf: np.ndarray, offsets: np.ndarray, size: int):
@@ -89,23 +90,34 @@ def fold(values: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, n_shingles, digest, fold, keys) of every row, in one pass over the texts."""
+    """(id, n_shingles, digest, fold, keys) of every row, in one pass over the texts.
+
+    keys is null where the same task has posted an equal set before; it remembers SEEN sets at a time, and a set that
+    it or another task posts again only adds an equal row to its buckets.
+    """
     ends = bands(percent)
 
     def sketch(batches):
+        seen: set = set()
         for batch in batches:
-            n, digest, folds, keys = [], [], [], []
-            for _, _, buf, offsets in chunks(batch.column(1)):
+            # a block of texts at a time, so that a task never holds the keys of a whole batch
+            for i, j, buf, offsets in chunks(batch.column(1)):
+                n, digest, folds, keys = [], [], [], []
                 for values in row_sets(buf, offsets, size):
                     n.append(len(values))
                     digest.append(xxhash.xxh3_128_digest(values.tobytes()) if len(values) else None)
+                    new = len(values) > 0 and digest[-1] not in seen
+                    if new:
+                        if len(seen) >= SEEN:
+                            seen.clear()
+                        seen.add(digest[-1])
                     band = int(np.searchsorted(ends, len(values), "right")) - 1
                     folds.append(fold(values) if len(values) else None)
-                    keys.append(np.concatenate([postings(values, b, percent) for b in (band, band + 1)]).view(np.int64) if len(values) else None)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(folds, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))],
-                names=["id", "n_shingles", "digest", "fold", "keys"],
-            )
+                    keys.append(np.concatenate([postings(values, b, percent) for b in (band, band + 1)]).view(np.int64) if new else None)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(folds, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))],
+                    names=["id", "n_shingles", "digest", "fold", "keys"],
+                )
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(sketch, "id long, n_shingles long, digest binary, fold array<long>, keys array<long>")
@@ -124,10 +136,10 @@ def jaccard_components(
         F.min("id").alias("least_id"), F.first("n_shingles").alias("n"), F.first("fold").alias("fold")
     )
     classes = materialise(classes.withColumn("node", F.xxhash64("digest")), "classes")
-    posted = some.groupBy("digest").agg(F.first("keys").alias("keys")).select(F.xxhash64("digest").alias("node"), F.explode("keys").alias("key"))
+    posted = some.where("keys is not null").select(F.xxhash64("digest").alias("node"), F.explode("keys").alias("key"))
     bucket = Window.partitionBy("key")
     met = posted.withColumns({"least": F.min("node").over(bucket), "most": F.max("node").over(bucket)}).where("least != most")
-    met = materialise(met.select("key", "node", "least"), "buckets")
+    met = materialise(met.select("key", "node", "least").distinct(), "buckets")  # clustered by key: no further shuffle
 
     light = classes.select("node", "n", "fold")
 
@@ -149,14 +161,14 @@ def jaccard_components(
 
         def compute(batches):
             for batch in batches:
-                nodes, values = [], []
                 digests = batch.column(2).to_pylist()
                 for i, _, buf, offsets in chunks(batch.column(1)):
+                    nodes, values = [], []
                     for k, v in enumerate(row_sets(buf, offsets, size)):
                         if xxhash.xxh3_128_digest(v.tobytes()) == digests[i + k]:  # rows that repeat an id have other sets
                             nodes.append(batch.column(0)[i + k].as_py())
                             values.append(v.tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(values, pa.binary())], names=["node", "values"])
+                    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(values, pa.binary())], names=["node", "values"])
 
         sets = texts.select("node", "text", "need_digest").mapInArrow(compute, "node long, values binary")
         sets = materialise(sets.dropDuplicates(["node"]), name + "-sets")
