@@ -1,22 +1,19 @@
-"""Operator 1, benchmark decontamination by CGK embedding and bit-sampling LSH over item-sized windows.
-
-Texts and items are lower-cased words of letters and digits.  A window of as many words as an item has is embedded by
-random walks (Chakraborty, Goldenberg, Koucky): a walk repeats or passes each word by a random bit of the word and the
-step, so a small edit distance becomes a small Hamming distance with good probability.  Every repetition has a walk of
-its own and samples some coordinates; windows that agree with an item on them are candidates.  The number of
-repetitions follows from the recall wanted and the chance of one repetition, `collision`, that a window at the distance
-bound agrees.  Candidates are verified by the exact edit distance of the item to the best span near the window.
-
-A window is embedded only if it holds enough of the items' word triples for the bound: an edit spoils at most three,
-so the test loses nothing.  The items are sent in blocks of at most block_words words, so what is sent stays bounded;
-every document meets every block, without any shuffle.
+"""Operator 1, benchmark decontamination by a lossless filter of word triples and exact edit distance.
+
+Texts and items are lower-cased words of letters and digits.  An edit spoils at most three of an item's word triples, so
+the window of as many words as the item has, from the start of a span within the bound, still holds a number of them
+(the words that inserted ones push out of the window are counted in).  Every stretch of a text that holds so many
+triples of one item close enough together is verified by the exact edit distance of the item to its best span, so no
+match is left to chance.  Triples are compared by 64-bit hashes.
+
+The items are sent in blocks of at most block_words words, so what is sent stays bounded; every document meets every
+block, without any shuffle.
 Nulls and empty texts, of documents or items, match nothing; null ids come back as null.  Items with fewer than
 min_words words match only themselves, word for word.  Repeated rows are reported each.  Empty tables give empty results.
 """
 
 from __future__ import annotations
 
-import math
 from collections import defaultdict
 
 import numpy as np
@@ -25,9 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import materialise
-from .words import NOT_ALNUM, chunks, mix, same_row, span_hashes, spans, windows
+from .words import NOT_ALNUM, chunks, same_row, span_hashes, spans, windows
 
-BITS = 3
 TRIPLE_BITS = 24
 
 
@@ -36,32 +32,11 @@ def bound(n_words: int, percent: int, min_words: int) -> int:
     return min(n_words * percent // 100, (n_words - 3) // 3) if n_words >= max(min_words, 3) else 0
 
 
-def repetitions(recall: float, collision: float) -> int:
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - collision)))
-
-
 def triples(h: np.ndarray) -> np.ndarray:
     """Short hashes of three words in a row; a false agreement only costs time."""
     return windows(h, 3) >> np.uint64(64 - TRIPLE_BITS)
 
 
-def embed(h: np.ndarray, starts: np.ndarray, n: int, reps: int) -> np.ndarray:
-    """keys[rep, i]: a hash of the sampled coordinates of the walk of window h[starts[i]:starts[i]+n] in a repetition."""
-    rng = np.random.default_rng(n)
-    sampled = np.stack([np.sort(rng.choice(max(2 * n, BITS), BITS, replace=False)) for _ in range(reps)])
-    rep = np.arange(reps, dtype=np.uint64)[:, None]
-    at = np.zeros((reps, len(starts)), np.int64)
-    out = np.broadcast_to(rep * np.uint64(0x10001) + np.uint64(n), at.shape).copy()
-    for step in range(int(sampled.max()) + 1):
-        inside = at < n
-        word = np.where(inside, h[starts + np.minimum(at, n - 1)], np.uint64(0))
-        for r in np.flatnonzero((sampled == step).any(axis=1)):
-            out[r] = mix(out[r] * np.uint64(0x9E3779B97F4A7C15) + word[r])
-        salt = mix((rep << np.uint64(40)) + np.uint64(step << 8 | 1))
-        at += inside & ((mix(word ^ salt) & np.uint64(1)) == 1)
-    return out
-
-
 def best_span(item: list[int], text: list[int]) -> tuple[int, int, int]:
     """(edit distance, start, end) of the span of text nearest to item, the earliest end of them."""
     previous = [(0, j) for j in range(len(text) + 1)]
@@ -82,10 +57,10 @@ def best_span(item: list[int], text: list[int]) -> tuple[int, int, int]:
 
 
 class ItemIndex:
-    """A block of items, by length and by repetition; it is what every task gets."""
+    """A block of items, by length and by triple; it is what every task gets."""
 
-    def __init__(self, items: list[tuple], percent: int, min_words: int, reps: int):
-        self.percent, self.min_words, self.reps = percent, min_words, reps
+    def __init__(self, items: list[tuple], percent: int, min_words: int):
+        self.percent, self.min_words = percent, min_words
         self.ids = [i for i, _ in items]
         self.words = [w for _, w in items]
         by_length = defaultdict(list)
@@ -96,18 +71,66 @@ class ItemIndex:
         self.triples = np.zeros(1 << TRIPLE_BITS, bool)
         for w in self.words:
             self.triples[triples(w)] = True
-        self.own = {n: np.unique(np.concatenate([windows(self.words[k], 3) for k in ks])) for n, ks in self.lengths.items()}
-        self.keys: dict[int, dict[int, list[int]]] = {}
+        self.short = defaultdict(list)
+        self.owners = {}
         for n, ks in self.lengths.items():
-            table = self.keys.setdefault(n, defaultdict(list))
-            text, starts = np.concatenate([self.words[k] for k in ks]), np.arange(len(ks)) * n
-            for keys in embed(text, starts, n, self.reps_of(n)).tolist():
-                for k, key in zip(ks, keys):
-                    table[key].append(k)
-
-    def reps_of(self, n: int) -> int:
-        """Items that match only themselves agree in every repetition."""
-        return self.reps if bound(n, self.percent, self.min_words) else 1
+            if n < 3:
+                for k in ks:
+                    self.short[tuple(self.words[k].tolist())].append(k)
+                continue
+            # the triples of a length's items, and which items have each: owner[begin[i]:begin[i + 1]]
+            sets = [np.unique(windows(self.words[k], 3)) for k in ks]
+            triple, owner = np.concatenate(sets), np.repeat(ks, [len(x) for x in sets])
+            order = np.argsort(triple, kind="stable")
+            own, begin = np.unique(triple[order], return_index=True)
+            self.owners[n] = own, np.append(begin, len(order)), owner[order]
+
+    def stretches(self, n: int, h: np.ndarray, first: np.ndarray, row_of: np.ndarray, all3: np.ndarray, known: np.ndarray):
+        """(row, item, start, end) of every stretch of words in which an item of n words can match."""
+        if n < 3:
+            starts = np.flatnonzero(np.isin(h[: max(0, len(h) - n + 1)], np.array([self.words[k][0] for k in self.lengths[n]], np.uint64)))
+            for s in starts[row_of[starts] == row_of[starts + n - 1]].tolist():
+                for k in self.short.get(tuple(h[s : s + n].tolist()), ()):
+                    yield int(row_of[s]), k, s, s + n
+            return
+        own, begin, owner = self.owners[n]
+        limit = bound(n, self.percent, self.min_words)
+        need = max(1, n - 2 - 3 * limit)
+
+        def runs(hit: np.ndarray, of: np.ndarray) -> np.ndarray:
+            """The i at which hits i to i + need - 1 are of one kind and fit in a window of n words."""
+            last = need - 1
+            return np.flatnonzero((hit[last:] - hit[: len(hit) - last] <= n - 3) & (of[last:] == of[: len(of) - last])) if len(hit) >= need else np.zeros(0, np.int64)
+
+        at = np.minimum(np.searchsorted(own, all3[known]), len(own) - 1)
+        mine = own[at] == all3[known]
+        hit, at = known[mine], at[mine]
+        # first by the triples of all items of this length, then item by item
+        i, step = runs(hit, row_of[hit]), np.zeros(len(hit) + 1, np.int64)
+        step[i] += 1
+        step[i + need] -= 1
+        near = np.cumsum(step)[:-1] > 0
+        hit, at = hit[near], at[near]
+        count = begin[at + 1] - begin[at]
+        item = owner[np.repeat(begin[at] - np.cumsum(count) + count, count) + np.arange(count.sum())]
+        hit = np.repeat(hit, count)
+        order = np.lexsort((hit, item))
+        hit, item = hit[order], item[order]
+        of = item * len(first) + row_of[hit]
+        i = runs(hit, of)
+        row = row_of[hit[i]]
+        low = np.maximum(first[row], hit[i + need - 1] - (n - 3))
+        high = np.minimum(hit[i], first[row + 1] - n)
+        inside = low <= high
+        i, row, low, high = i[inside], row[inside], low[inside], high[inside]
+        if not len(i):
+            return
+        end = np.minimum(high + n + limit, first[row + 1])
+        # stretches that overlap are searched as one
+        new = np.append(True, (of[i][1:] != of[i][:-1]) | (low[1:] >= end[:-1]))
+        begins = np.flatnonzero(new)
+        ends = np.append(begins[1:], len(i)) - 1
+        yield from zip(row[begins].tolist(), item[i[begins]].tolist(), low[begins].tolist(), end[ends].tolist())
 
     def matches(self, h: np.ndarray, first: np.ndarray):
         """(row, item, distance, start, end) of the words h of some rows; first: each row's first word and their number."""
@@ -115,41 +138,16 @@ class ItemIndex:
         all3 = windows(h, 3)
         known = np.flatnonzero(self.triples[all3 >> np.uint64(64 - TRIPLE_BITS)] & same_row(first, len(h), 3)) if len(all3) else np.zeros(0, np.int64)
         found = {}
-        for n, ks in self.lengths.items():
+        for n in self.lengths:
             if len(h) < n:
                 break
-            m = len(h) - n + 1
-            if n < 3:
-                starts = np.flatnonzero(np.isin(h[:m], np.array([self.words[k][0] for k in ks], np.uint64)))
-            else:
-                # windows that hold enough triples of the items of this length
-                hit = known[np.isin(all3[known], self.own[n])]
-                need = max(1, n - 2 - 3 * bound(n, self.percent, self.min_words))
-                starts = np.unique((hit[:, None] - np.arange(n - 2)).ravel())
-                starts = starts[(starts >= 0) & (starts < m)]
-                starts = starts[np.searchsorted(hit, starts + n - 2) - np.searchsorted(hit, starts) >= need]
-            starts = starts[row_of[starts] == row_of[starts + n - 1]]
-            if not len(starts):
-                continue
-            table = self.keys[n]
-            candidates = defaultdict(set)
-            for keys in embed(h, starts, n, self.reps_of(n)).tolist():
-                for s, key in zip(starts.tolist(), keys):
-                    for k in table.get(key, ()):
-                        candidates[int(row_of[s]), k].add(s)
             limit = bound(n, self.percent, self.min_words)
-            for (row, k), at in candidates.items():
-                done = -1
-                for s in sorted(at):
-                    if s < done:
-                        continue  # inside the stretch that has just been searched
-                    a, b = max(int(first[row]), s - limit), min(int(first[row + 1]), s + n + limit)
-                    d, start, end = best_span(self.words[k].tolist(), h[a:b].tolist())
-                    if d <= limit:
-                        best = (d, a + start - int(first[row]), a + end - int(first[row]))
-                        if (row, k) not in found or best < found[row, k]:
-                            found[row, k] = best
-                        done = a + end
+            for row, k, a, b in self.stretches(n, h, first, row_of, all3, known):
+                d, start, end = best_span(self.words[k].tolist(), h[a:b].tolist())
+                if d <= limit:
+                    best = (d, a + start - int(first[row]), a + end - int(first[row]))
+                    if (row, k) not in found or best < found[row, k]:
+                        found[row, k] = best
         return [(row, self.ids[k], *best) for (row, k), best in found.items()]
 
 
@@ -180,8 +178,6 @@ def benchmark_matches(
     benchmark: DataFrame,
     percent: int = 20,
     min_words: int = 8,
-    recall: float = 0.99,
-    collision: float = 0.25,
     block_words: int = 1 << 20,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -194,7 +190,6 @@ def benchmark_matches(
     """
     spark = docs.sparkSession
     schema = f"{id_col} long, {item_col} long, distance int, start long, end long"
-    reps = repetitions(recall, collision)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
     def task(shared):
@@ -211,7 +206,7 @@ def benchmark_matches(
         return search
 
     parts = [
-        texts.mapInArrow(task(spark.sparkContext.broadcast(ItemIndex(block, percent, min_words, reps))), schema)
+        texts.mapInArrow(task(spark.sparkContext.broadcast(ItemIndex(block, percent, min_words))), schema)
         for block in item_blocks(benchmark, item_col, item_text_col, block_words)
     ]
     if not parts:

@@ -74,6 +74,30 @@ def test_decontamination(spark, docs, empty, odd):
     assert decontam.decontaminate(docs, items).columns == docs.columns
 
 
+def edited(item, kind, k):
+    """item with k edits of a kind; a word that is in no other place comes in."""
+    w = list(item)
+    for j, at in enumerate(sorted(rnd.sample(range(1, len(item) - 1), k), reverse=True)):
+        how = kind if kind != "mixed" else ("substitute", "insert", "delete")[j % 3]
+        w[at : at + (how != "insert")] = [] if how == "delete" else ["new%d" % j]
+    return w
+
+
+def test_decontamination_finds_all_at_the_bound(spark):
+    items, rows, want = [], [], set()
+    for n in (10, 15, 20, 30, 50, 100):
+        item = ["i%dx%d" % (n, j) for j in range(n)]
+        items.append((n, " ".join(item)))
+        for kind in ("substitute", "insert", "delete", "mixed"):
+            for _ in range(8):
+                w = edited(item, kind, decontam.bound(n, 20, 8))
+                rows.append((len(rows), " ".join(rnd.choices(VOCAB, k=150) + w + rnd.choices(VOCAB, k=150))))
+                want.add((len(rows) - 1, n))
+    got = decontam.benchmark_matches(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want
+    assert all(r.distance <= decontam.bound(r.item_id, 20, 8) for r in got)
+
+
 def test_best_span():
     assert decontam.best_span([1, 2, 3], [9, 1, 2, 3, 9]) == (0, 1, 4)
     assert decontam.best_span([1, 2, 3], [9, 1, 3, 9])[0] == 1
