@@ -4,7 +4,8 @@ Texts and items are lower-cased words of letters and digits.  An edit spoils at
 the window of as many words as the item has, from the start of a span within the bound, still holds a number of them
 (the words that inserted ones push out of the window are counted in).  Every stretch of a text that holds so many
 triples of one item close enough together is verified by the exact edit distance of the item to its best span, so no
-match is left to chance.  Triples are compared by 64-bit hashes.
+match is left to chance.  Windows may run past the end of a text, so a text shorter than an item, or one that ends in a
+passage with deleted words, is searched as well.  Triples are compared by 64-bit hashes.
 
 The items are sent in blocks of at most block_words words, so what is sent stays bounded; every document meets every
 block, without any shuffle.
@@ -120,12 +121,9 @@ class ItemIndex:
         i = runs(hit, of)
         row = row_of[hit[i]]
         low = np.maximum(first[row], hit[i + need - 1] - (n - 3))
-        high = np.minimum(hit[i], first[row + 1] - n)
-        inside = low <= high
-        i, row, low, high = i[inside], row[inside], low[inside], high[inside]
+        end = np.minimum(hit[i] + n + limit, first[row + 1])
         if not len(i):
             return
-        end = np.minimum(high + n + limit, first[row + 1])
         # stretches that overlap are searched as one
         new = np.append(True, (of[i][1:] != of[i][:-1]) | (low[1:] >= end[:-1]))
         begins = np.flatnonzero(new)
@@ -139,8 +137,6 @@ class ItemIndex:
         known = np.flatnonzero(self.triples[all3 >> np.uint64(64 - TRIPLE_BITS)] & same_row(first, len(h), 3)) if len(all3) else np.zeros(0, np.int64)
         found = {}
         for n in self.lengths:
-            if len(h) < n:
-                break
             limit = bound(n, self.percent, self.min_words)
             for row, k, a, b in self.stretches(n, h, first, row_of, all3, known):
                 d, start, end = best_span(self.words[k].tolist(), h[a:b].tolist())

@@ -98,6 +98,22 @@ def test_decontamination_finds_all_at_the_bound(spark):
     assert all(r.distance <= decontam.bound(r.item_id, 20, 8) for r in got)
 
 
+def test_decontamination_at_the_end_of_a_text(spark):
+    items, rows, want = [], [], {}
+    for n in (10, 15, 30, 50):
+        item = ["e%dx%d" % (n, j) for j in range(n)]
+        items.append((n, " ".join(item)))
+        limit = decontam.bound(n, 20, 8)
+        for head in (0, 0, 40):  # the text is nothing but the passage, or ends in it
+            for k, w in ((1, item[:-1]), (1, item[1:]), (limit, item[:-limit]), (limit, edited(item, "delete", limit))):
+                want[len(rows), n] = k
+                rows.append((len(rows), " ".join(rnd.choices(VOCAB, k=head) + w)))
+        rows.append((len(rows), " ".join(item[: -limit - 1])))  # one edit too many
+    texts, items = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), spark.createDataFrame(items, "item_id long, text string")
+    for docs in (texts, texts.repartition(len(rows), "doc_id")):
+        assert {(r.doc_id, r.item_id): r.distance for r in decontam.benchmark_matches(docs, items).collect()} == want
+
+
 def test_best_span():
     assert decontam.best_span([1, 2, 3], [9, 1, 2, 3, 9]) == (0, 1, 4)
     assert decontam.best_span([1, 2, 3], [9, 1, 3, 9])[0] == 1
