@@ -35,8 +35,8 @@ def bad_line(line: Column, separators_per_word: float = 0.25, symbols_per_word:
     """True for a line that fails the navigation, symbol, boilerplate or punctuation rule.
 
     Navigation: three separators or more, and at least one to four words.  Symbols: at least one of #*$%&<>{} to two
-    words.  Boilerplate: a phrase of BOILERPLATE in a line of up to 30 words and 600 characters.  Punctuation: a line of `long_words`
-    words or more in which no word ends in punctuation at all.
+    words.  Boilerplate: a phrase of BOILERPLATE in a line of up to 30 words.  Punctuation: a line of `long_words` words or more
+    in which no word ends in punctuation at all.
     """
     words = F.regexp_count(line, F.lit(WORD + "+"))
     separators = F.regexp_count(line, F.lit("[|»›·•]"))
@@ -46,6 +46,8 @@ def bad_line(line: Column, separators_per_word: float = 0.25, symbols_per_word:
         return reduce(lambda a, b: a | b, [lower.contains(p) for p in BOILERPLATE])
 
     unpunctuated = ~line.rlike(r"[^\x20\x09-\x0D][.!?…:;,。！？؟।](?:[\"'”’»)\]]*)(?:[\x20\x09-\x0D]|$)")
+    # reads no further than the 31st word
+    over_30 = line.rlike(f"^[{WS}]*+(?:{WORD}++[{WS}]++){{30}}{WORD}")
     # cheap tests first: the others run on few lines
     return (
         (
@@ -55,7 +57,7 @@ def bad_line(line: Column, separators_per_word: float = 0.25, symbols_per_word:
                 | ((symbols >= 2) & (symbols >= words * symbols_per_word))
             )
         )
-        | ((F.length(line) <= 600) & bind(F.lower(line), phrase) & (words <= 30))
+        | (~over_30 & bind(F.lower(line), phrase))
         | (unpunctuated & (words >= long_words))
     )
 

@@ -231,6 +231,18 @@ def test_quality(spark, docs, empty):
     assert quality.quality_rules(empty).count() == 0
 
 
+def test_quality_boilerplate_in_long_lines_of_few_words(spark):
+    fill = " ".join(VOCAB[:12]) + "."
+    lines = ["文" * 700 + "。Privacy Policy。", "http://h.org/" + "x" * 600 + " All rights reserved."]
+    lines += [" ".join(VOCAB[:28]) + " click here.", "\t " + " ".join(VOCAB[:29]) + " click here. ", "click here. " + "y" * 601 + " " + " ".join(VOCAB[:28]), "click here. " + " ".join(VOCAB[:200])]
+    rows = [(i, fill + "\n" + x) for i, x in enumerate(lines)]
+    got = {r.doc_id: (r.n_bad_lines, r.kept) for r in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    few = [len(x.split()) <= 30 for x in lines]
+    assert few == [True, True, True, False, False, False]
+    assert {i: n for i, (n, _) in got.items()} == {i: int(x) for i, x in enumerate(few)}
+    assert [got[i][1] for i in range(2)] == [False, False]
+
+
 @pytest.mark.parametrize("limit", [1 << 20, 0])
 @pytest.mark.parametrize("first", [True, False])
 def test_lines(docs, empty, limit, first):
