@@ -18,10 +18,11 @@ from skein.session import ship_package
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep, texts unchanged."""
+    """Documents that the quality rules keep, without the lines that fail; n_chars, where there is one, follows the text."""
     ship_package(spark)
     clear_scratch(spark)
-    return quality.quality_rules(docs).where("kept").select(*docs.columns)
+    new = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast(dict(docs.dtypes).get("n_chars", "long"))}
+    return quality.quality_rules(docs).where("kept").select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

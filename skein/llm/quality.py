@@ -1,8 +1,8 @@
 """Operator 6, quality rules, line first: lines that fail a rule go, then documents that lose too much text.
 
 Native: DataFrame expressions only, no shuffle, one pass.
-Nulls: a null text counts as no text (0 words, rejected); other columns pass through untouched.
-Empty text: 0 words, rejected.  Repeated rows are judged one by one and equally.  An empty table stays empty.
+Nulls: a null text counts as no text (0 words, rejected, kept_text empty); other columns pass through untouched.
+Lines of white space alone fail no rule and stay.  Empty text: 0 words, rejected.  Repeated rows are judged one by one and equally.  An empty table stays empty.
 Added columns that clash with a column of the input replace it.
 """
 
@@ -118,20 +118,25 @@ def quality_rules(
     min_kept_percent: int = 50,
 ) -> DataFrame:
     """docs plus n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_bad_lines, kept_word_chars,
-    base_failed and kept.
+    kept_text, base_failed and kept.
 
+    kept_text: the lines that pass every rule, in their order.
     base_failed: fewer than min_words words, or more than max_repeat_percent of the words in repeated 5-word windows.
     kept: not base_failed, and the lines that pass every rule hold at least min_kept_percent of the word characters.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     words = F.array_remove(F.split(body, f"[{WS}]+"), "")
-    lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(WORD))
-    out = docs.withColumns({"_words": words, "_lines": lines})
+    out = docs.withColumns({"_words": words, "_all": F.split(body, "\n")})
+    out = out.withColumn("_lines", F.filter("_all", lambda x: x.rlike(WORD)))
     good = bind(
-        F.filter("_lines", lambda x: ~bad_line(x)),
-        lambda g: F.struct(
-            (F.size("_lines") - F.size(g)).cast("long").alias("n_bad_lines"),
-            F.length(F.regexp_replace(F.array_join(g, ""), f"[{WS}]+", "")).cast("long").alias("kept_word_chars"),
+        F.filter("_all", lambda x: ~bad_line(x)),
+        lambda g: bind(
+            F.array_join(g, "\n"),
+            lambda kept: F.struct(
+                (F.size("_all") - F.size(g)).cast("long").alias("n_bad_lines"),
+                F.length(F.regexp_replace(kept, f"[{WS}]+", "")).cast("long").alias("kept_word_chars"),
+                kept.alias("kept_text"),
+            ),
         ),
     )
     counts = F.struct(
@@ -145,11 +150,11 @@ def quality_rules(
     # a generator of one row: filters on the counts are not pushed below it, which would repeat the work for each
     out = out.withColumn("_m", F.explode(F.array(counts)))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    out = out.withColumns({n: F.col(f"_m.{n}") for n in names} | {n: F.col(f"_m.good.{n}") for n in ("n_bad_lines", "kept_word_chars")})
+    out = out.withColumns({n: F.col(f"_m.{n}") for n in names} | {n: F.col(f"_m.good.{n}") for n in ("n_bad_lines", "kept_word_chars", "kept_text")})
     out = out.withColumn(
         "base_failed",
         (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words")),
     )
     return out.withColumn(
         "kept", ~F.col("base_failed") & (100 * F.col("kept_word_chars") >= min_kept_percent * F.col("word_chars"))
-    ).drop("_words", "_lines", "_m")
+    ).drop("_words", "_all", "_lines", "_m")

@@ -243,6 +243,22 @@ def test_quality_boilerplate_in_long_lines_of_few_words(spark):
     assert [got[i][1] for i in range(2)] == [False, False]
 
 
+def test_quality_stage_removes_failing_lines(spark):
+    import corpus_pipeline
+
+    solid = " ".join(VOCAB[40:70]) + "."
+    bad = ["Home | News | Sport | Help", "$$ ## %% x", "© 2020 All rights reserved", " ".join(VOCAB[20:34])]
+    text = "\n".join([bad[0], solid, "", bad[1], " " + solid.upper(), bad[2], bad[3], "short", ""])
+    want = "\n".join([solid, "", " " + solid.upper(), "short", ""])
+    rows = [(1, text, len(text)), (2, solid, len(solid)), (3, None, None), (4, "\n".join(bad), 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    got = {r.doc_id: r for r in quality.quality_rules(docs).collect()}
+    assert {i: (r.n_bad_lines, r.kept_text) for i, r in got.items()} == {1: (4, want), 2: (0, solid), 3: (0, ""), 4: (4, "")}
+    out = corpus_pipeline.quality_stage(spark, docs, "")
+    assert out.schema == docs.schema
+    assert sorted(map(tuple, out.collect())) == [(1, want, len(want)), (2, solid, len(solid))]
+
+
 @pytest.mark.parametrize("limit", [1 << 20, 0])
 @pytest.mark.parametrize("first", [True, False])
 def test_lines(docs, empty, limit, first):
