@@ -1,42 +1,31 @@
 """Vectorised words, windows and hashes over Arrow string columns, a chunk of rows at a time.
 
-Hashes of words are polynomial prefix sums over randomised bytes, taken modulo 2**64 and mixed; windows of words are
-Horner sums of word hashes, mixed.  Equal content gives equal hashes in every process.
+A short span's hash is the sum of its groups of eight bytes, each mixed with a number of its place (no two spans of up
+to eight bytes meet); a long one's is XXH3.  Windows of words are sums of word hashes, each times a random odd number for
+its place.  All are taken modulo 2**64 and mixed, so repeated letters or words make no two of them meet more often than
+chance does.  Equal content gives equal hashes in every process.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
-MASK = (1 << 64) - 1
-_P = 0x9E3779B97F4A7C15
 _BLOCK = 1 << 20
+_SHORT = 32
 _rng = np.random.default_rng(20240601)
-_BYTES = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
+_PLACES = _rng.integers(0, 1 << 64, _SHORT // 8, dtype=np.uint64)
+_FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BYTES_LOWER = _BYTES[_LOWER]
+_FACTORS = np.zeros(0, np.uint64)
 
 #: ASCII white space [\x20\x09-\x0D], and everything in ASCII but letters and digits
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 NOT_ALNUM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
-_tables: tuple[np.ndarray, np.ndarray] | None = None
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """P**0..P**(n-1) and its inverses modulo 2**64."""
-    global _tables
-    if _tables is None or len(_tables[0]) < n:
-        size = max(n, _BLOCK)
-        up, down = np.full(size, _P, np.uint64), np.full(size, pow(_P, -1, 1 << 64), np.uint64)
-        up[0] = down[0] = 1
-        _tables = np.multiply.accumulate(up), np.multiply.accumulate(down)
-    return _tables
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     h = h ^ (h >> np.uint64(33))
     h = h * np.uint64(0xFF51AFD7ED558CCD)
@@ -47,21 +36,21 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
     """A 64-bit hash of buf[starts[i]:ends[i]] for ascending, disjoint spans."""
-    out = np.empty(len(starts), np.uint64)
-    table = _BYTES_LOWER if lower else _BYTES
-    i = 0
-    while i < len(starts):
-        # a block of spans up to _BLOCK bytes, or one long span
-        j = max(i + 1, int(np.searchsorted(ends, starts[i] + _BLOCK, "right")))
-        lo, hi = int(starts[i]), int(ends[j - 1])
-        up, down = powers(hi - lo + 1)
-        sums = np.empty(hi - lo + 1, np.uint64)
-        sums[0] = 0
-        np.cumsum(table[buf[lo:hi]] * up[: hi - lo], out=sums[1:])
-        s = starts[i:j] - lo
-        out[i:j] = (sums[ends[i:j] - lo] - sums[s]) * down[s]
-        i = j
-    return mix(out + (ends - starts).astype(np.uint64))
+    out = np.zeros(len(starts), np.uint64)
+    length = ends - starts
+    buf = _LOWER[buf] if lower else buf
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(buf) + 1,), "<u8", padded, strides=(1,))  # the eight bytes from every byte on
+    rest = np.flatnonzero((length > 0) & (length <= _SHORT))
+    for place, salt in enumerate(_PLACES):
+        left = length[rest] - 8 * place
+        out[rest] += mix((eight[starts[rest] + 8 * place] & _FIRST_BYTES[np.minimum(left, 8)]) + salt)
+        rest = rest[left > 8]
+    long = np.flatnonzero(length > _SHORT)
+    if len(long):
+        raw = buf.tobytes()
+        out[long] = np.fromiter((xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(starts[long].tolist(), ends[long].tolist())), np.uint64, len(long))
+    return mix(out + length.astype(np.uint64))
 
 
 def chunks(column: pa.Array, max_bytes: int = _BLOCK):
@@ -96,15 +85,23 @@ def spans(buf: np.ndarray, offsets: np.ndarray, separator: np.ndarray = SPACE) -
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def _factors(k: int) -> np.ndarray:
+    """k random odd numbers, the same in every process."""
+    global _FACTORS
+    if len(_FACTORS) < k:
+        _FACTORS = np.random.default_rng(20240602).integers(0, 1 << 64, max(k, 64), dtype=np.uint64) | np.uint64(1)
+    return _FACTORS
+
+
 def windows(h: np.ndarray, k: int) -> np.ndarray:
     """Hashes of the k consecutive words that start at each word (len(h) - k + 1 of them, or none)."""
     n = len(h) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    out = h[:n].copy()
+    factors = _factors(k)
+    out = h[:n] * factors[0]
     for j in range(1, k):
-        out *= np.uint64(_P)
-        out += h[j : n + j]
+        out += h[j : n + j] * factors[j]
     return mix(out)
 
 
