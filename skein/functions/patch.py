@@ -10,7 +10,7 @@ HUNK = re.compile(r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@")
 
 def sections(diff: str) -> dict[str, str]:
     """Path -> section of a multi-file diff; deletions have no section, the last section of a path wins."""
-    lines, starts = diff.split("\n"), []
+    lines, starts = diff.replace("\r\n", "\n").split("\n"), []
     for i, line in enumerate(lines):
         header = line.startswith("--- ") and (not starts or (i + 1 < len(lines) and lines[i + 1].startswith("+++ ")))
         if header:
@@ -27,7 +27,7 @@ def sections(diff: str) -> dict[str, str]:
 
 def hunks(section: str) -> list[tuple[int, list[tuple[str, str]]]]:
     """(source start, [(tag, text)]) of each hunk; ValueError on a malformed one."""
-    out, lines, i = [], section.split("\n"), 0
+    out, lines, i = [], section.replace("\r\n", "\n").split("\n"), 0
     while i < len(lines):
         head = HUNK.match(lines[i])
         i += 1
@@ -35,7 +35,7 @@ def hunks(section: str) -> list[tuple[int, list[tuple[str, str]]]]:
             continue
         old, new = (1 if g is None else int(g) for g in (head[2], head[4]))
         body: list[tuple[str, str]] = []
-        while old > 0 or new > 0:
+        while old or new:  # a body that overshoots a count never ends
             if i == len(lines):
                 raise ValueError("truncated hunk")
             line, i = lines[i], i + 1
@@ -55,6 +55,7 @@ def hunks(section: str) -> list[tuple[int, list[tuple[str, str]]]]:
 
 def apply(text: str, section: str) -> str:
     """text with a section's hunks; each at its place or the nearest match below the hunk before it."""
+    text = text.replace("\r\n", "\n")
     had_newline = text.endswith("\n")
     lines = text.split("\n")[: -1 if had_newline else None] if text else []
     floor, shift = 0, 0
@@ -75,6 +76,19 @@ def apply(text: str, section: str) -> str:
     return "\n".join(lines) + ("\n" if lines and (had_newline or not text) else "")
 
 
+def targets(diff: str) -> list[str]:
+    """The distinct paths that a diff writes to, in order."""
+    found = (re.match(r"\+\+\+ (?:[ab]/)?(\S+)", line) for line in diff.replace("\r\n", "\n").split("\n"))
+    return list(dict.fromkeys(m[1] for m in found if m and m[1] != "/dev/null"))
+
+
+def stale(section: str) -> str | None:
+    """A section whose first line of context or removal cannot match any more; None without such a line."""
+    lines = section.split("\n")
+    at = next((i for i, x in enumerate(lines) if len(x) > 1 and x[0] in " -" and not x.startswith(("--- ", "-- "))), None)
+    return None if at is None else "\n".join([*lines[:at], lines[at] + "  # stale", *lines[at + 1 :]])
+
+
 def _sections(diff: pd.Series) -> pd.Series:
     return diff.map(lambda d: [{"path": p, "body": b} for p, b in sections(d or "").items()])
 

@@ -47,3 +47,29 @@ def advantage(df: DataFrame, group: str, reward: Column, infra: Column, scale: b
 def kl_term(policy: Column, reference: Column) -> Column:
     d = reference - policy
     return F.exp(d) - d - 1
+
+
+def loss_terms(tokens: DataFrame, sequence: str, policy: str, reference: str, advantage: str, supervised: str, kl_coeff: float = 0.0) -> DataFrame:
+    """Per sequence the token-mean policy term, KL term, loss and number of supervised tokens (at least 1 divides)."""
+    on = F.col(supervised)
+    n = F.greatest(F.count_if(on), F.lit(1))
+    pg = -F.sum(F.when(on, F.col(advantage) * F.col(policy)).otherwise(0.0)) / n
+    kl = F.sum(F.when(on, kl_term(F.col(policy), F.col(reference))).otherwise(0.0)) / n
+    return tokens.groupBy(sequence).agg(F.count_if(on).alias("tokens"), pg.alias("pg"), kl.alias("kl"), (pg + kl_coeff * kl).alias("loss"))
+
+
+def token_weights(sequences: DataFrame, update: str, tokens: str) -> DataFrame:
+    """Each sequence's share of its update's supervised tokens."""
+    return sequences.withColumn("scale", F.col(tokens) / F.sum(tokens).over(Window.partitionBy(update)))
+
+
+def legacy_advantage(df: DataFrame, group: str, reward: Column) -> DataFrame:
+    """z-scores of the rewards in a group by the population deviation; 0 where it is under 1e-8."""
+    w = Window.partitionBy(group)
+    std = F.stddev_pop(reward).over(w)
+    return df.withColumn("advantage", F.when(std < 1e-8, 0.0).otherwise((reward - F.avg(reward).over(w)) / std))
+
+
+def trainable(df: DataFrame, advantage: str, messages: str) -> DataFrame:
+    """Rollouts that teach something: with messages and an advantage other than zero."""
+    return df.where((F.col(advantage) != 0) & (F.size(F.coalesce(F.col(messages), F.array())) > 0))

@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import byte_draw, order_key, split_name
+from ..functions.text import as_list, slugify
 
 #: Fixed values
 SPLITS = {"sft": 60, "rl": 20, "holdout": 20}
-GOLD = ["gold_patch", "patch"]
+PUBLIC = ["task_id", "repo", "repo_url", "base_commit", "version", "issue", "hints", "test_patch", "fail_to_pass", "pass_to_pass", "test_runner", "test_target", "test_k_expr", "venv", "source"]
 
 
 def assign_split(df: DataFrame, key: Column, widths: dict[str, int] = SPLITS) -> DataFrame:
@@ -25,9 +26,11 @@ def dev_slice(df: DataFrame, key: Column, size: int, seed: int = 0) -> tuple[Dat
     if size <= 0:
         return df.limit(0), df
     keyed = df.withColumn("_o", order_key(key, seed))
-    n = min(size, max(df.count() - 1, 0))
-    dev = keyed.orderBy("_o").limit(n)
-    return dev.drop("_o"), keyed.join(F.broadcast(dev.select("_o")), "_o", "left_anti").drop("_o")
+    # one row more than asked tells whether train would be empty
+    first = keyed.orderBy("_o").limit(size + 1)
+    dev = first.withColumn("_n", F.count("*").over(Window.partitionBy())).withColumn("_k", F.row_number().over(Window.orderBy("_o")))
+    dev = dev.where("_k <= least(%d, _n - 1)" % size)
+    return dev.drop("_o", "_n", "_k"), keyed.join(dev.select("_o"), "_o", "left_anti").drop("_o")
 
 
 def last_wins(df: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -42,8 +45,9 @@ def pending(candidates: DataFrame, ledger: DataFrame, key: str, verified: Column
     return candidates.join(seen.select(key).distinct(), key, "left_anti")
 
 
-def public_pool(df: DataFrame, drop: list[str] = GOLD) -> DataFrame:
-    return df.select(*[c for c in df.columns if c not in drop])
+def public_pool(df: DataFrame, keep: list[str] = PUBLIC) -> DataFrame:
+    """Only the columns that a pool may show: what is not on the list, a new gold column too, stays out."""
+    return df.select(*[c for c in df.columns if c in keep])
 
 
 def uncontaminated(subset: DataFrame, others: DataFrame, keys: list[list[str]]) -> DataFrame:
@@ -67,3 +71,31 @@ def shards(df: DataFrame, group: str, order: str, size: int, whole: list[str] |
     rn = F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1
     cut = F.floor(rn / size)
     return df.withColumn("shard", F.when(F.col(group).isin(*(whole or [])), F.lit(0)).otherwise(cut).cast("long"))
+
+
+def normalised(raw: DataFrame, source: str) -> DataFrame:
+    """Task records from raw instances: renamed, texts never null, test lists as arrays; columns that are absent are null."""
+    col = lambda c: F.col(c) if c in raw.columns else F.lit(None).cast("string")
+    text = lambda c: F.coalesce(col(c), F.lit(""))
+    listed = lambda c: col(c) if dict(raw.dtypes).get(c, "").startswith("array") else as_list(col(c))
+    return raw.select(
+        "instance_id", "repo", F.concat(F.lit("https://github.com/"), "repo", F.lit(".git")).alias("repo_url"), "base_commit", col("version").alias("version"),
+        text("problem_statement").alias("issue"), text("hints_text").alias("hints"), text("patch").alias("gold_patch"), text("test_patch").alias("test_patch"),
+        listed("FAIL_TO_PASS").alias("fail_to_pass"), listed("PASS_TO_PASS").alias("pass_to_pass"), F.lit(source).alias("source"),
+    )
+
+
+def merged_evidence(instances: DataFrame, evidence: DataFrame, key: str, repo: str) -> DataFrame:
+    """Pool records: an instance with its verification's columns; a missing venv is the repository's slug."""
+    out = instances.join(evidence, key)
+    return out.withColumn("venv", F.coalesce(F.nullif(F.col("venv"), F.lit("")), slugify(F.col(repo))))
+
+
+def page(df: DataFrame, order: list[str], limit: int, offset: int = 0) -> DataFrame:
+    """The rows from an offset on, in order, as a top-k."""
+    return df.orderBy(*order).offset(offset).limit(limit)
+
+
+def batches(df: DataFrame, order: Column, size: int, update: int) -> DataFrame:
+    """The rows of one update: the first `size` by a hash that changes with the update."""
+    return df.orderBy(F.xxhash64(order, F.lit(update)), order).limit(size)

@@ -94,18 +94,19 @@ def ledger_retry(t):
 
 @query("select doc_id, source, n_chars from documents join labels using (doc_id) where quality = 1")
 def public_pool(t):
-    pool = t("documents").select("doc_id", "source", "n_chars", F.col("text").alias("gold_patch"))
-    return tasks.public_pool(pool).join(t("labels").where("quality = 1").select("doc_id"), "doc_id")
+    pool = t("documents").select("doc_id", "source", "n_chars", F.col("text").alias("gold_patch"), F.col("lang").alias("new_gold_column"))
+    return tasks.public_pool(pool, ["doc_id", "source", "n_chars"]).join(t("labels").where("quality = 1").select("doc_id"), "doc_id")
 
 
 @query(
-    f"""with d as (select doc_id, trim(text) as issue, {SPLIT} as split from documents)
-select doc_id from d where split = 'holdout' and issue not in (select issue from d where split <> 'holdout')"""
+    f"""with d as (select doc_id, trim(text) as issue, source, n_chars, {SPLIT} as split from documents), o as (select * from d where split <> 'holdout')
+select doc_id from d where split = 'holdout' and doc_id not in (select doc_id from o) and issue not in (select issue from o)
+and not exists (select 1 from o where o.source = d.source and o.n_chars = d.n_chars)"""
 )
 def contam_3key(t):
-    d = tasks.assign_split(t("documents"), F.col("doc_id")).select("doc_id", F.trim("text").alias("issue"), "source", "split")
+    d = tasks.assign_split(t("documents"), F.col("doc_id")).select("doc_id", F.trim("text").alias("issue"), "source", "n_chars", "split")
     held, others = d.where("split = 'holdout'"), d.where("split != 'holdout'")
-    return tasks.uncontaminated(held, others, [["doc_id"], ["doc_id", "source"], ["issue"]]).select("doc_id")
+    return tasks.uncontaminated(held, others, [["doc_id"], ["source", "n_chars"], ["issue"]]).select("doc_id")
 
 
 @query(
@@ -148,18 +149,6 @@ def wilson_by_repo(t):
     return d.select("source", F.round(low, 6).alias("low"), F.round(high, 6).alias("high"))
 
 
-@query(
-    """select case event_type when 'purchase' then 'resolved' when 'error' then 'policy_error' when 'login' then 'step_budget_exhaustion'
-when 'view' then 'incomplete_patch' else 'wrong_file' end as category, count(*) as n from events group by 1"""
-)
-def failure_taxonomy(t):
-    e = F.col("event_type")
-    kind = episodes.failure_category(
-        e == "purchase", F.when(e == "error", F.lit("boom")), F.when(e == "login", F.lit("budget_exhausted")).otherwise("submitted"), e != "view", F.lit("fail")
-    )
-    return t("events").groupBy(kind.alias("category")).agg(F.count("*").alias("n"))
-
-
 @query(
     """with c as (select count(*) as n, count_if(quality = 1 and toxic = 1)::bigint as both, count_if(quality <> 1 and toxic <> 1)::bigint as neither,
 count_if(quality = 1 and toxic <> 1)::bigint as treatment_only, count_if(quality <> 1 and toxic = 1)::bigint as baseline_only from labels),
@@ -346,11 +335,11 @@ def search_hits(t):
 
 @query(
     """select token, count(*) as n, min(doc_id) as first_doc from (select doc_id, unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*(?:\\.[A-Za-z_][A-Za-z0-9_]*)*')) as token
-from documents where lang = 'en') where length(token) between 4 and 60 group by token"""
+from documents) where length(token) between 4 and 60 group by token"""
 )
 def identifiers(t):
     tokens = F.regexp_extract_all("text", F.lit(r"[A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)*"), F.lit(0))
-    rows = t("documents").where("lang = 'en'").select("doc_id", F.explode(tokens).alias("token"))
+    rows = t("documents").select("doc_id", F.explode(tokens).alias("token"))
     return rows.where(F.length("token").between(4, 60)).groupBy("token").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
 
 
@@ -376,10 +365,9 @@ def event_windows_hourly(t):
     return event_windows(t("events"))
 
 
-@query("select user_id, event_type, count(*) as n from events where json_extract(props, '$.k')::int % 2 = 0 group by 1, 2")
+@query("select user_id, event_type, json_extract(props, '$.k')::int as k, count(*) as n from events group by 1, 2, 3")
 def tool_args(t):
-    even = F.get_json_object("props", "$.k").cast("int") % 2 == 0
-    return t("events").where(even).groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    return t("events").groupBy("user_id", "event_type", F.get_json_object("props", "$.k").cast("int").alias("k")).agg(F.count("*").alias("n"))
 
 
 @query(
@@ -400,3 +388,6 @@ def patch_round_trip(t):
     diff = F.concat_ws("\n", F.lit("--- a/x"), F.lit("+++ b/x"), F.lit("@@ -1,3 +1,3 @@"), F.concat(F.lit(" "), F.get("l", F.lit(0))), F.concat(F.lit("-"), F.get("l", F.lit(1))), F.lit("+changed"), F.concat(F.lit(" "), F.get("l", F.lit(2))))
     out = d.withColumn("r", patch.apply_diff("text", diff)).select("doc_id", "r.ok", F.size(patch.diff_sections(diff)).alias("n_sections"), F.md5("r.text").alias("digest"))
     return out
+
+
+from . import records  # noqa: E402, F401  registers its queries

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,12 +15,72 @@ def event_windows(events: DataFrame, ts: str = "ts", width: str = "1 hour", late
     return out.select(F.col("w.start").alias("window_start"), "n", "total")
 
 
-def append_verdicts(stream: DataFrame, path: str, checkpoint: str, key: str):
-    """Each key once: state keeps the keys seen, each batch is appended as it ends, and a restart goes on from there."""
+def append_verdicts(stream: DataFrame, path: str, checkpoint: str, key: str, ts: str | None = None, late: str = "1 hour"):
+    """Each key once; a restart goes on where the last run ended.
+
+    A batch is written to a folder of its own number, so a batch that is tried again takes its own place and not another.
+    Keys are remembered for ever, or, with a time column, as long as `late` says.
+    """
+    once = stream.withWatermark(ts, late).dropDuplicatesWithinWatermark([key]) if ts else stream.dropDuplicates([key])
+    return (
+        once.writeStream.foreachBatch(lambda batch, n: batch.write.mode("overwrite").json(f"{path}/batch={n}"))
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def gate_stream(scores: DataFrame, path: str, checkpoint: str, key: str, order: str, score: str, min_delta: float = 0.0, patience: int = 3):
+    """The early-stop gate over a stream of (key, order, score): after each batch a row per key with its state.
+
+    State per key is four numbers; scores of a batch are taken in their order.
+    """
+    schema = f"{key} string, n int, best double, best_index int, stop boolean"
+
+    def update(k, frames, state):
+        n, best, at = state.get if state.exists else (0, float("-inf"), -1)
+        for x in pd.concat(list(frames)).sort_values(order)[score]:
+            if x > best + min_delta:
+                best, at = float(x), n
+            n += 1
+        state.update((n, best, at))
+        yield pd.DataFrame([(k[0], n, best, at, patience > 0 and n - 1 - at >= patience)], columns=[key, "n", "best", "best_index", "stop"])
+
+    out = scores.groupBy(key).applyInPandasWithState(update, schema, "n int, best double, at int", "update", "NoTimeout")
     return (
-        stream.dropDuplicates([key])
-        .writeStream.foreachBatch(lambda batch, _: batch.write.mode("append").json(path))
+        out.writeStream.outputMode("update")
+        .foreachBatch(lambda batch, n: batch.write.mode("overwrite").json(f"{path}/batch={n}"))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
+
+
+def update_metrics(rollouts: DataFrame, update: str, reward: str, resolved: str) -> DataFrame:
+    """Per update: rollouts, mean and best reward, share resolved; the same plan over a table or a stream."""
+    return rollouts.groupBy(update).agg(
+        F.count("*").alias("n"), F.round(F.avg(reward), 6).alias("mean_reward"), F.max(reward).alias("best_reward"),
+        F.round(F.count_if(resolved) / F.greatest(F.lit(1), F.count("*")), 6).alias("rate"),
+    )
+
+
+def episodes(steps: DataFrame, key: str, order: str, kind: str, max_steps: int, max_malformed: int = 2) -> DataFrame:
+    """Per episode its steps, malformed steps and end: submitted, error or budget_exhausted.
+
+    Steps are folded in order until one submits, one fails, more than max_malformed in a row do not parse, or max_steps are
+    used; a malformed step costs a step.
+    """
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct(order, kind))), lambda s: s[kind])
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("bad"), F.lit(0).alias("row"), F.lit(None).cast("string").alias("end"))
+
+    def step(a, x):
+        bad = x == "malformed"
+        row = F.when(bad, a["row"] + 1).otherwise(0)
+        end = (
+            F.when(x == "submit", "submitted").when((x == "error") | (row > max_malformed), "error").when(a["n"] + 1 >= max_steps, "budget_exhausted")
+        )
+        new = F.struct((a["n"] + 1).alias("n"), (a["bad"] + bad.cast("int")).alias("bad"), row.alias("row"), end.alias("end"))
+        return F.when(a["end"].isNotNull(), a).otherwise(new)
+
+    folded = steps.groupBy(key).agg(F.aggregate(ordered, start, step).alias("e"))
+    return folded.select(key, F.col("e.n").alias("steps"), F.col("e.bad").alias("malformed"), F.coalesce("e.end", F.lit("budget_exhausted")).alias("status"))
