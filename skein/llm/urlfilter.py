@@ -1,10 +1,11 @@
 """Operator 10, URL filters: host-suffix and path-prefix expressions, short hash prefixes, full digests, precedence.
 
-Every URL is expanded into (host suffix + path prefix) expressions, only for path lengths that some rule has.  The
-expressions meet the rules in an equi-join on the first four bytes of their SHA-256; the full digest confirms, and the
-longest rule wins (ties: block before allow, then the rule's text).
+Every URL is expanded into (host suffix + path prefix) expressions, only for numbers of labels and path lengths that some
+rule has, so a row's expressions stay as many as the rules have such pairs, however long its host.  The expressions meet
+the rules in an equi-join on the first four bytes of their SHA-256 alone; of the rules met, those whose full digest is the
+expression's are confirmed, and the longest of them wins (ties: block before allow, then the rule's text).
 Nulls: a null url, or one without "://", has an empty host and path and meets no rule.  A null host or verdict in the
-rules drops that rule; a null path means "/".  Repeated rows come back as often as they were.  Other columns of the
+rules drops that rule; a null path means "/", an empty one every path.  Repeated rows come back as often as they were.  Other columns of the
 input are not returned; join on id and url for them.  Empty tables give empty results; without rules all is `default`.
 """
 
@@ -42,45 +43,35 @@ def url_verdicts(
 ) -> DataFrame:
     """Per row of pages: id, url, host, path, rule ('host' + 'path', null if none fits) and verdict.
 
-    rules has the columns host, path and verdict.  They are broadcast only up to max_broadcast_rules rows (some 100
-    bytes each); more of them are shuffled.
+    rules has the columns host, path and verdict.  They are broadcast only up to max_broadcast_rules rows and 64 MB; more
+    of them are shuffled.
     """
     spark = pages.sparkSession
     rules = rules.select(F.lower("host").alias("r_host"), F.coalesce("path", F.lit("/")).alias("r_path"), F.col("verdict").alias("r_verdict"))
     rules = rules.where("r_host is not null and r_verdict is not null").distinct()
     rules = rules.withColumn("r_rule", F.concat("r_host", "r_path")).withColumn("r_digest", _digest(F.col("r_rule")))
     rules = rules.withColumn("r_short", _short(F.col("r_digest")))
-    # the distinct path lengths of the rules: at most the longest path's length of integers
-    lengths = [r[0] for r in rules.select(F.length("r_path")).distinct().collect()] or [1]
+    # the distinct shapes of rules, (labels of the host, length of the path): a few small numbers
+    labels = lambda host: F.size(F.split(host, r"\."))
+    shapes = sorted(tuple(r) for r in rules.select(labels(F.col("r_host")), F.length("r_path")).distinct().collect())
 
     host, path = split_url(F.col(url_col))
     urls = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), host.alias("host"), path.alias("path"))
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(
-        F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")
-    )
-    prefixes = F.transform(
-        F.filter(F.array(*[F.lit(int(n)) for n in sorted(lengths)]), lambda n: n <= F.length("path")),
-        lambda n: F.substr(F.col("path"), F.lit(1), n),
-    )
-    expressions = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(s, p))))
-    # the empty first expression keeps the row and counts it once
-    expanded = urls.withColumn("_e", F.explode(F.concat(F.array(F.lit("")), expressions)))
+    expression = lambda n, k: F.concat(F.substring_index("host", ".", -n), F.left("path", F.lit(k)))
+    expressions = [F.when((labels(F.col("host")) >= n) & (F.length("path") >= k), expression(n, k)) for n, k in shapes]
+    # the first, null, keeps the row and counts it once
+    expanded = urls.withColumn("_e", F.explode(F.concat(F.array(F.lit(None).cast("string")), F.array_compact(F.array(*expressions).cast("array<string>")))))
     expanded = expanded.withColumn("_digest", _digest(F.col("_e"))).withColumn("_short", _short(F.col("_digest")))
-    joined = expanded.join(
-        broadcast_if_small(rules, max_broadcast_rules),
-        (F.col("_short") == F.col("r_short")) & (F.col("_digest") == F.col("r_digest")),
-        "left",
-    )
+    joined = expanded.join(broadcast_if_small(rules, max_broadcast_rules), F.col("_short") == F.col("r_short"), "left")
     best = F.max(
         F.when(
-            F.col("r_rule").isNotNull(),
+            F.col("_digest") == F.col("r_digest"),
             F.struct(F.length("r_rule").alias("n"), (F.col("r_verdict") == "block").alias("b"), F.col("r_rule").alias("rule"), F.col("r_verdict").alias("verdict")),
         )
     )
     # one URL's expressions leave one map task, so the partial aggregate folds them before the shuffle
     judged = joined.groupBy("_id", "_url", "host", "path").agg(
-        best.alias("_best"), F.sum(F.when(F.col("_e") == "", 1).otherwise(0)).alias("_n")
+        best.alias("_best"), F.count_if(F.col("_e").isNull()).alias("_n")
     )
     return judged.withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select(
         F.col("_id").alias(id_col),
