@@ -109,10 +109,10 @@ def _count(pattern: str, text: str) -> str:
 
 
 def _quality_sql() -> str:
-    words, phrase = _count(r"[^\x20\x09-\x0D]+", "line"), "|".join(quality.BOILERPLATE)
+    words, phrase = _count(r"[^\x20\x09-\x0D]+", "line"), "|".join(quality.BOILERPLATE).replace("'", "''")
     bad = f"""(({_count("[|»›·•]", "line")} >= 3 and {_count("[|»›·•]", "line")} >= {words} * 0.25)
       or ({_count("[#*$%&<>{}]+", "line")} >= 2 and {_count("[#*$%&<>{}]+", "line")} >= {words} * 0.5)
-      or (regexp_matches(lower(line), '{phrase}') and {words} <= 30 and length(line) <= 600)
+      or (regexp_matches(lower(line), '{phrase}') and {words} <= 30)
       or ({words} >= 12 and not regexp_matches(line, '[^\\x20\\x09-\\x0D][.!?…:;,。！？؟।](?:["''”’»)\\]]*)(?:[\\x20\\x09-\\x0D]|$)')))"""
     return f"""
 with d as (select doc_id, coalesce(text, '') as text, {WORDS} as ws from documents),
