@@ -216,9 +216,26 @@ def benchmark_matches(
     return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", max_broadcast_rows: int = 1_000_000, **options) -> DataFrame:
-    """docs without those that match an item; rows with a null id are compared by their ids as others are."""
-    from .scratch import broadcast_if_small
+def decontaminate(
+    docs: DataFrame, benchmark: DataFrame, percent: int = 20, min_words: int = 8, block_words: int = 1 << 20, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text"
+) -> DataFrame:
+    """docs without the rows whose text matches an item.
+
+    Each row is judged by its own text where it lies, so ids, null or repeated, play no part and nothing is shuffled; more
+    blocks of items are more filters in the same pass.  Columns are as they were, whatever their names.
+    """
+    spark, at, schema = docs.sparkSession, docs.columns.index(text_col), docs.schema
+
+    def task(shared):
+        def clean(batches):
+            for batch in batches:
+                keep = np.ones(batch.num_rows, bool)
+                for i, h, first in _words(batch.column(at).cast(pa.string())):
+                    keep[[i + row for row, *_ in shared.value.matches(h, first)]] = False
+                yield batch.filter(pa.array(keep))
+
+        return clean
 
-    hit = materialise(benchmark_matches(docs, benchmark, id_col=id_col, **options).select(F.col(id_col).alias("_hit")).distinct(), "contaminated")
-    return docs.join(broadcast_if_small(hit, max_broadcast_rows), F.col(id_col).eqNullSafe(F.col("_hit")), "left_anti")
+    for block in item_blocks(benchmark, item_col, item_text_col, block_words):
+        docs = docs.mapInArrow(task(spark.sparkContext.broadcast(ItemIndex(block, percent, min_words))), schema)
+    return docs
