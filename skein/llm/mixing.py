@@ -78,20 +78,21 @@ def _draws(docs: DataFrame, seed: int, preference: str | None, id_col: str, text
     return light.withColumn("_u", u)
 
 
-def _ranked(light: DataFrame, per_source: DataFrame, max_copies: int) -> DataFrame:
+def _ranked(light: DataFrame, per_source: DataFrame, max_copies: int, even: bool) -> DataFrame:
     """The certain copies _whole, the rank _q of the rest and its bins _b1 and _b2."""
     rows = _by_source(light, per_source)
     mean = F.least(F.lit(float(max_copies)), F.col("_pref") * F.col("target") / F.col("_prefs"))
     rows = rows.withColumn("_mean", F.when(F.col("size") > 0, mean).otherwise(0.0))
     rows = rows.withColumn("_whole", F.floor("_mean")).withColumn("_p", F.col("_mean") - F.col("_whole"))
     q = (F.col("_u") / (1 - F.col("_u"))) / (F.col("_p") / (1 - F.col("_p")))
-    # q / (1 + q) has the order of q and lies in (0, 1)
-    rows = rows.withColumn("_q", F.when(F.col("_p") > 0, q / (1 + q)))
+    # q / (1 + q) has the order of q and lies in (0, 1); where a source's p is one number u has the same order, and fills
+    # the bins evenly whatever that number is
+    rows = rows.withColumn("_q", F.when(F.col("_p") > 0, F.col("_u") if even else q / (1 + q)))
     rows = rows.withColumn("_b1", F.floor(F.col("_q") * BINS)).withColumn("_b2", F.floor(F.col("_q") * BINS * BINS) % BINS)
     return rows
 
 
-def _cuts(light: DataFrame, weights: list[int], max_copies: int) -> tuple[DataFrame, DataFrame]:
+def _cuts(light: DataFrame, weights: list[int], max_copies: int, even: bool) -> tuple[DataFrame, DataFrame]:
     """One row a source each: sizes and targets; what is needed beyond the certain copies and the bins of the cut."""
     per_source = light.groupBy("source").agg(
         F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("_pref")).alias("_prefs")
@@ -100,7 +101,7 @@ def _cuts(light: DataFrame, weights: list[int], max_copies: int) -> tuple[DataFr
     per_source = materialise(
         per_source.select(F.col("source").alias("s2"), "_prefs").join(targets, F.col("s2").eqNullSafe(F.col("source"))).drop("s2"), "mix-targets"
     )
-    rows = _ranked(light, per_source, max_copies)
+    rows = _ranked(light, per_source, max_copies, even)
 
     def cut(binned: DataFrame, bin_col: str, need_col: str) -> DataFrame:
         """The bin of each source in which the running sum passes what is needed; one row a source."""
@@ -123,9 +124,9 @@ def _cuts(light: DataFrame, weights: list[int], max_copies: int) -> tuple[DataFr
     return per_source, cuts
 
 
-def _decided(light: DataFrame, per_source: DataFrame, cuts: DataFrame, max_copies: int) -> DataFrame:
+def _decided(light: DataFrame, per_source: DataFrame, cuts: DataFrame, max_copies: int, even: bool) -> DataFrame:
     """_last: the row lies in the bin of the cut; _extra: 1 for rows of the bins before."""
-    rows = _by_source(_ranked(light, per_source, max_copies), cuts, "left")
+    rows = _by_source(_ranked(light, per_source, max_copies, even), cuts, "left")
     last = F.col("_q").isNotNull() & F.col("_b1").eqNullSafe(F.col("_cut1")) & F.col("_b2").eqNullSafe(F.col("_cut2"))
     inside = F.col("_q").isNotNull() & (F.col("_need") > 0) & (
         F.col("_cut1").isNull() | (F.col("_b1") < F.col("_cut1")) | ((F.col("_b1") == F.col("_cut1")) & (F.col("_cut2").isNull() | (F.col("_b2") < F.col("_cut2"))))
@@ -157,7 +158,8 @@ def plan_mix(
     at most max_copies each (the source's total may then stay below its target).
     """
     light = materialise(_draws(docs, seed, preference, id_col, text_col, source_col), "mix-sizes")
-    rows = _decided(light, *_cuts(light, weights or [1, 2, 3], max_copies), max_copies)
+    even = preference is None
+    rows = _decided(light, *_cuts(light, weights or [1, 2, 3], max_copies, even), max_copies, even)
     out = _edge(rows, id_col).unionByName(rows.where(~F.col("_last")))
     copies = (F.col("_whole") + F.col("_extra")).cast("long")
     return out.select(
@@ -175,21 +177,27 @@ def mix(
     text_col: str = "text",
     source_col: str = "source",
 ) -> DataFrame:
-    """docs with every row as often as the mix takes it, its columns unchanged.
+    """docs with every row as often as the mix takes it, its columns unchanged: the copies of plan_mix.
 
     Every row is decided where it lies, from its own draw and its source's cut, so texts are not shuffled; only the
-    rows of the last bin look their turn up.  Equal repeats in that bin share what the bin gives them, rounded up.
+    rows of the last bin look their turn up.  Where the cut falls among equal repeats of a row, at most one group of
+    them a source, these are numbered to take as many as the plan does.
     """
-    draw = (seed, preference, id_col, text_col, source_col)
+    draw, even = (seed, preference, id_col, text_col, source_col), preference is None
     light = materialise(_draws(docs, *draw), "mix-sizes")
-    per_source, cuts = _cuts(light, weights or [1, 2, 3], max_copies)
-    edge = _edge(_decided(light, per_source, cuts, max_copies), id_col)
+    per_source, cuts = _cuts(light, weights or [1, 2, 3], max_copies, even)
+    edge = _edge(_decided(light, per_source, cuts, max_copies, even), id_col)
     edge = edge.groupBy(F.col(id_col).alias("_id"), F.col("_key").alias("_k2"), F.col("source").alias("_s2")).agg(
-        F.ceil(F.sum("_extra") / F.count("*")).alias("_turn")
+        F.sum("_extra").alias("_turns"), F.count("*").alias("_alike")
     )
     edge = materialise(edge, "mix-edge")
-    rows = _decided(_draws(docs, *draw, F.struct(*docs.columns).alias("_doc")), per_source, cuts, max_copies)
+    rows = _decided(_draws(docs, *draw, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")), per_source, cuts, max_copies, even)
     same = F.col("_last") & F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_k2")) & F.col("source").eqNullSafe(F.col("_s2"))
     rows = rows.join(_small(edge), same, "left")
-    n = F.col("_whole") + F.when(F.col("_last"), F.col("_turn")).otherwise(F.col("_extra"))
-    return rows.where(n > 0).withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), n.cast("long")))).select("_doc.*")
+    cut = F.col("_last") & (F.col("_turns") > 0) & (F.col("_turns") < F.col("_alike"))
+    cut = F.coalesce(cut, F.lit(False))
+    repeats = Window.partitionBy(id_col, "_key", "source").orderBy(F.lit(0))
+    sure = rows.where(~cut).withColumn("_n", F.col("_whole") + F.when(F.col("_last"), (F.col("_turns") > 0).cast("long")).otherwise(F.col("_extra")))
+    split = rows.where(cut).withColumn("_n", F.col("_whole") + (F.row_number().over(repeats) <= F.col("_turns")).cast("long"))
+    taken = sure.unionByName(split).where("_n > 0")
+    return taken.withColumn("_c", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n").cast("long")))).select("_doc.*")
