@@ -7,8 +7,12 @@ histories in global order.  Reading: records are fetched in index order; a range
 
 Payloads of at least min_revisit_bytes that are equal, by SHA-1, become one response, that of the largest id, and
 revisit records that refer to it.
+Merging and reading hold a piece of every run and some 16 MB of records at a time, so a very long payload costs its own
+size and a long history no more than a short one.
 Nulls: null html is an empty payload; a null url has an empty key and no target; rows with a null id revisit others but are
-themselves referred to only as null.  Repeated rows get a record each; repeats of the largest id are all responses.
+themselves referred to only as null.  Repeated rows get a record each, under one record id, which names the page; repeats of the largest id are all responses.
+Payloads of exactly min_revisit_bytes count as long enough.  Captures of one key and time keep the order of their runs.
+Other columns are not written.
 Without a timestamp column the capture time is the epoch plus the id in seconds.  Empty tables give empty results.
 """
 
@@ -23,6 +27,7 @@ import zlib
 from bisect import bisect_left, bisect_right
 from datetime import datetime, timedelta, timezone
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +37,7 @@ from .scratch import broadcast_if_small, materialise, scratch_dir, shuffle_parti
 
 EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 SAMPLE = 256
+PIECE, PIECES = 1 << 20, 16 << 20
 ID_SPACE, NULL_SPACE = 0x5EED0000_0000_4000, 0x5EED0000_0000_4001
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -209,17 +215,28 @@ def merge_index(runs: DataFrame, parts: int) -> DataFrame:
                 low, high = cuts[part - 1] if part else "", cuts[part] if part < len(cuts) else None
 
                 def entries(s):
-                    for line in read_blob(s["run"], s["a"], s["b"] - s["a"]).decode().split("\n")[:-1]:
-                        key, ts, rest = line.split(" ", 2)
-                        if low <= f"{key} {ts}" and (high is None or f"{key} {ts}" < high):
-                            yield key, ts, rest
+                    rest, at = b"", s["a"]
+                    while at < s["b"]:  # a run's slice is read piece by piece
+                        data = rest + read_blob(s["run"], at, min(PIECE, s["b"] - at))
+                        at = min(at + PIECE, s["b"])
+                        *lines, rest = data.split(b"\n")
+                        for line in lines:
+                            key, ts, place = line.decode().split(" ", 2)
+                            if low <= f"{key} {ts}" and (high is None or f"{key} {ts}" < high):
+                                yield key, ts, place
 
                 rows = []
-                for seq, (key, ts, rest) in enumerate(LoserTree([entries(s) for s in sorted(found, key=lambda s: s["run"])])):
-                    at = json.loads(rest)
+                for seq, (key, ts, place) in enumerate(LoserTree([entries(s) for s in sorted(found, key=lambda s: s["run"])])):
+                    at = json.loads(place)
                     rows.append((part, seq, key, ts, at["filename"], at["offset"], at["length"]))
-                kinds = [pa.int32(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 7, kinds)], names=["part", "seq", "url_key", "timestamp", "filename", "offset", "length"])
+                    if len(rows) >= 10_000:
+                        yield batch_of(rows)
+                        rows = []
+                yield batch_of(rows)
+
+    def batch_of(rows):
+        kinds = [pa.int32(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 7, kinds)], names=["part", "seq", "url_key", "timestamp", "filename", "offset", "length"])
 
     dealt = runs.select("run", "samples", "offsets").mapInArrow(slices, "part int, run string, a long, b long")
     grouped = dealt.groupBy("part").agg(F.collect_list(F.struct("run", "a", "b")).alias("slices"))
@@ -231,39 +248,51 @@ def read_archives(index: DataFrame, id_col: str = "page_id", with_payload: bool
 
     def read(batches):
         for batch in batches:
-            entries = batch.to_pylist()
-            by_file: dict = {}
-            for i, e in enumerate(entries):
-                by_file.setdefault(e["filename"], []).append((e["offset"], e["length"], i))
-            records: list = [None] * len(entries)
-            for name, places in by_file.items():
-                places.sort()
-                k = 0
-                while k < len(places):
-                    # records side by side are one read, up to 16 MB
-                    m, stop = k + 1, places[k][0] + places[k][1]
-                    while m < len(places) and places[m][0] <= stop + 65536 and stop - places[k][0] < 16 << 20:
-                        stop = max(stop, places[m][0] + places[m][1])
-                        m += 1
-                    data = read_blob(name, places[k][0], stop - places[k][0])
-                    for offset, length, i in places[k:m]:
-                        records[i] = parse_record(zlib.decompress(data[offset - places[k][0] :][:length], wbits=31))
-                    k = m
-            columns = {
-                id_col: pa.array([r["id"] for r in records], pa.int64()),
-                "payload_bytes": pa.array([r["payload_bytes"] for r in records], pa.int64()),
-                "payload_digest": pa.array([r["payload_digest"] for r in records], pa.string()),
-                "record_type": pa.array([r["record_type"] for r in records], pa.string()),
-                "refers_to": pa.array([r["refers_to"] for r in records], pa.int64()),
-                "url_key": batch.column(2),
-                "timestamp": batch.column(3),
-            }
-            if with_payload:
-                columns["payload"] = pa.array([r["payload"] for r in records], pa.binary())
-            yield pa.RecordBatch.from_pydict(columns)
+            # as many entries at a time as PIECES bytes of archive hold, and one at least
+            ends = np.cumsum(batch.column(batch.schema.get_field_index("length")).to_numpy())
+            a = 0
+            while a < len(ends):
+                b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + PIECES, "right")))
+                yield records_of(batch.slice(a, b - a))
+                a = b
+
+    def records_of(batch):
+        entries = batch.to_pylist()
+        by_file: dict = {}
+        for i, e in enumerate(entries):
+            by_file.setdefault(e["filename"], []).append((e["offset"], e["length"], i))
+        records: list = [None] * len(entries)
+        for name, places in by_file.items():
+            places.sort()
+            k = 0
+            while k < len(places):
+                # records side by side are one read, up to PIECES bytes
+                m, stop = k + 1, places[k][0] + places[k][1]
+                while m < len(places) and places[m][0] <= stop + 65536 and stop - places[k][0] < PIECES:
+                    stop = max(stop, places[m][0] + places[m][1])
+                    m += 1
+                data = read_blob(name, places[k][0], stop - places[k][0])
+                for offset, length, i in places[k:m]:
+                    records[i] = parse_record(zlib.decompress(data[offset - places[k][0] :][:length], wbits=31))
+                    if not with_payload:
+                        records[i]["payload"] = None
+                k = m
+        columns = {
+            id_col: pa.array([r["id"] for r in records], pa.int64()),
+            "payload_bytes": pa.array([r["payload_bytes"] for r in records], pa.int64()),
+            "payload_digest": pa.array([r["payload_digest"] for r in records], pa.string()),
+            "record_type": pa.array([r["record_type"] for r in records], pa.string()),
+            "refers_to": pa.array([r["refers_to"] for r in records], pa.int64()),
+            "url_key": batch.column(2),
+            "timestamp": batch.column(3),
+        }
+        if with_payload:
+            columns["payload"] = pa.array([r["payload"] for r in records], pa.binary())
+        return pa.RecordBatch.from_pydict(columns)
 
     schema = f"{id_col} long, payload_bytes long, payload_digest string, record_type string, refers_to long, url_key string, timestamp string"
-    return index.mapInArrow(read, schema + (", payload binary" if with_payload else ""))
+    dealt = index.repartitionByRange(shuffle_partitions(index.sparkSession), "part", "seq").sortWithinPartitions("part", "seq")
+    return dealt.mapInArrow(read, schema + (", payload binary" if with_payload else ""))
 
 
 def archive(
