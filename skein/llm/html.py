@@ -1,33 +1,43 @@
 """Operator 4, HTML extraction by nearest-URL page differencing.
 
-Pages are sorted by host, URL path and id.  A page's nearest neighbours are those before and after it on its host whose
-lines differ from its own; its lines (blocks of text) are aligned with theirs by longest common subsequence, and lines
-on a common subsequence are template lines and go.
+Pages are sorted by host, URL path, id and lines.  A page's nearest neighbours are the last page before it and the first
+after it on its host whose lines (blocks of text) differ from its own; its lines are aligned with theirs by longest common
+subsequence, and lines on a common subsequence are template lines and go.
 
 Differencing alone cannot give right results: articles of a host quote the same passages, and many hosts have one page.
-So an exact check follows: lines inside an article or main element stay although a neighbour shares them, and lines in
-elements that are navigation, header, footer, sidebar, notice, advert, form or comments by their tag, role, class or id go
-although no neighbour shares them.  If a page has such a main element, only its lines are text.
-
-A range of the sort order is one task's work, split by rows and never by host; the rows at both ends of a range go to its
-neighbours too.  If equal pages meet at such an end, the differing page beyond them is not seen from there.
-Nulls: null html is an empty page, a null url has an empty host and path; null ids sort first.  Repeated rows stay.
-Very long pages are handled whole.  Empty tables give empty results.  Other columns are not returned.
+So the page's own marks come after it.  They veto: a shared line inside an article or main element stays.  And they settle
+what alignment left: an unshared line goes if it is in an element that is navigation, header, footer, sidebar, notice,
+advert, form or comments by its tag, role, class or id, or if it is outside the main element of a page that has one.
+n_shared, n_vetoed and n_marked count the lines of each kind.
+
+A range of the sort order is one task's work, split by rows and never by host.  A first pass finds, for every range, the
+runs of equal pages at its ends, and so the nearest differing pages beyond it, however many ranges a run fills; these
+pages go to the range too.  So the result does not depend on how pages are partitioned.  A run of equal pages is aligned
+once, and of its pages no more than id, URL and marks are held until the next run begins.
+Nulls: null html is an empty page, a null url has an empty host and path; null ids sort first.  Repeated rows stay and get
+equal texts.  Very long pages are handled whole, in time and memory linear in the page (alignment: the product of the
+lines that differ, 64 at a time, in bounded memory).  Empty tables give empty results.  Other columns are not returned.
 """
 
 from __future__ import annotations
 
 import html as _html
+import pickle
 import re
 from bisect import bisect_left
+from collections import Counter
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import materialise, shuffle_partitions
+from .scratch import shuffle_partitions
 from .urlfilter import split_url
 
+#: an alignment table of more bits is cut in two
+TABLE_BITS = 1 << 28
 #: Elements, by what they mean for the text.
 RAW = {"script", "style", "textarea", "title", "xmp", "noembed", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -67,6 +77,7 @@ def blocks(page: str) -> list[tuple[str, bool, bool]]:
     out: list[tuple[str, bool, bool]] = []
     piece: list[str] = []
     stack: list[tuple[str, str]] = []
+    opened: Counter = Counter()
     n_main = n_off = 0
 
     def flush():
@@ -107,9 +118,10 @@ def blocks(page: str) -> list[tuple[str, bool, bool]]:
         if name not in INLINE and name not in ("script", "style"):
             flush()
         if closing:
-            if any(t == name for t, _ in stack):
+            if opened[name]:
                 while True:
                     t, kind = stack.pop()
+                    opened[t] -= 1
                     n_main -= kind == "main"
                     n_off -= kind == "off"
                     if t == name:
@@ -129,63 +141,158 @@ def blocks(page: str) -> list[tuple[str, bool, bool]]:
             if kind and name in INLINE:
                 flush()
             stack.append((name, kind))
+            opened[name] += 1
             n_main += kind == "main"
             n_off += kind == "off"
     flush()
     return out
 
 
-def common_lines(a: list[str], b: list[str]) -> set[int]:
-    """Positions of a on a longest common subsequence with b (Hunt and Szymanski)."""
-    places: dict[str, list[int]] = {}
+def _steps(a: list, b: list):
+    """The bits of each row of the alignment table: bit j is clear where the length grows at b's line j."""
+    places: dict = {}
     for j, line in enumerate(b):
-        places.setdefault(line, []).append(j)
-    tails: list[int] = []
-    links: list[tuple] = []
-    for i, line in enumerate(a):
-        for j in reversed(places.get(line, ())):
-            k = bisect_left(tails, j)
-            node = (i, links[k - 1] if k else None)
-            if k == len(tails):
-                tails.append(j)
-                links.append(node)
-            else:
-                tails[k] = j
-                links[k] = node
-    found, node = set(), links[-1] if links else None
-    while node:
-        found.add(node[0])
-        node = node[1]
+        places[line] = places.get(line, 0) | 1 << j
+    ones = (1 << len(b)) - 1
+    v = ones
+    for line in a:
+        u = v & places.get(line, 0)
+        v = ((v + u) | (v - u)) & ones
+        yield v
+
+
+def _lengths(a: list, b: list) -> np.ndarray:
+    """The length of the longest common subsequence of a and every beginning of b."""
+    v = (1 << len(b)) - 1
+    for v in _steps(a, b):
+        pass
+    bits = np.unpackbits(np.frombuffer(v.to_bytes(len(b) // 8 + 1, "little"), np.uint8), count=len(b), bitorder="little")
+    return np.append(0, np.cumsum(1 - bits.astype(np.int64)))
+
+
+def _aligned(a: list, b: list) -> list[int]:
+    """Positions of a on a longest common subsequence with b."""
+    both = set(a) & set(b)
+    place = [i for i, line in enumerate(a) if line in both]
+    a, b = [a[i] for i in place], [line for line in b if line in both]
+    if not a:
+        return []
+    if len(a) > 1 and len(a) * len(b) > TABLE_BITS:
+        # halves of a, each with its part of b
+        half = len(a) // 2
+        cut = int(np.argmax(_lengths(a[:half], b) + _lengths(a[:half - 1 : -1], b[::-1])[::-1]))
+        found = _aligned(a[:half], b[:cut]) + [half + i for i in _aligned(a[half:], b[cut:])]
+        return [place[i] for i in found]
+    size = len(b) // 8 + 1
+    rows = [v.to_bytes(size, "little") for v in _steps(a, b)]
+    found, i, j = [], len(a) - 1, len(b) - 1
+    while i >= 0 and j >= 0:
+        if rows[i][j >> 3] >> (j & 7) & 1:
+            j -= 1
+        elif i and not rows[i - 1][j >> 3] >> (j & 7) & 1:
+            i -= 1
+        else:
+            found.append(place[i])
+            i, j = i - 1, j - 1
     return found
 
 
-def main_lines(lines: list[str], in_main: list[bool], off: list[bool], neighbours: list[list[str]]) -> list[str]:
-    shared: set[int] = set()
-    for other in neighbours:
-        shared |= common_lines(lines, other)
+def common_lines(a: list[str], b: list[str]) -> set[int]:
+    """Positions of a on a longest common subsequence with b."""
+    n, p, q = min(len(a), len(b)), 0, 0
+    while p < n and a[p] == b[p]:
+        p += 1
+    while q < n - p and a[-1 - q] == b[-1 - q]:
+        q += 1
+    middle = _aligned(a[p : len(a) - q], b[p : len(b) - q])
+    return {*range(p), *range(len(a) - q, len(a)), *(p + i for i in middle)}
+
+
+def main_lines(lines: list[str], in_main: list[bool], off: list[bool], shared: set[int]) -> tuple[list[str], int, int]:
+    """(the text's lines, shared lines that marks keep, unshared lines that marks remove)."""
     marked = any(m and not o for m, o in zip(in_main, off))
-    return [
-        line
-        for i, line in enumerate(lines)
-        if not off[i] and (in_main[i] if marked else i not in shared)
-    ]
+    kept, vetoed, settled = [], 0, 0
+    for i, line in enumerate(lines):
+        keep = i not in shared
+        if off[i] or (marked and not in_main[i]):
+            settled += keep
+            keep = False
+        elif marked:
+            vetoed += not keep
+            keep = True
+        if keep:
+            kept.append(line)
+    return kept, vetoed, settled
+
+
+def _neighbours(ranges: list[dict]) -> list[tuple[tuple, int, int, int]]:
+    """(key, hash of lines, range, side) of the pages beyond each range that its first (-1) and last (1) run differ from.
+
+    A range has its `runs` in order, each (host, hash, key); of more than four only the first and last two.
+    """
+    out = []
+    for side, order in ((-1, range(len(ranges))), (1, range(len(ranges) - 1, -1, -1))):
+        beyond = None  # the nearest differing run for the range before, if that range is a single run
+        last: list = []
+        for j in order:
+            runs = ranges[j]["runs"][:: -side]  # from the side on inwards
+            host, lines, _ = runs[0]
+            near = next((r for r in last if r[0] != host or r[1] != lines), None) if last else None
+            if last and near is None:
+                near = beyond
+            if near is not None and near[0] == host:
+                out.append((near[2], near[1], j, side))
+            else:
+                near = None
+            beyond = near if ranges[j]["n_runs"] == 1 else None
+            last = runs[::-1][:2]
+    return out
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(id, url, text, n_lines, n_shared) of every page; text joins the article's blocks by newlines."""
-    spark = pages.sparkSession
-    n = shuffle_partitions(spark)
+    """(id, url, text, n_lines, n_shared, n_vetoed, n_marked) of every page; text joins the article's blocks by newlines."""
+    n = shuffle_partitions(pages.sparkSession)
     host, path = split_url(F.col(url_col))
     least = F.lit(-(2**63)).cast("long")
     keyed = pages.select(
         host.alias("host"), path.alias("path"), F.coalesce(F.col(id_col).cast("long"), least).alias("k"),
         F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"),
     )
-    light = keyed.select("host", "path", "k").repartitionByRange(n, "host", "path", "k")
-    ends = light.groupBy(F.spark_partition_id().alias("p")).agg(F.min(F.struct("host", "path", "k")), F.max(F.struct("host", "path", "k")))
-    # one row a partition
-    ends = sorted((tuple(r[1]), tuple(r[2])) for r in ends.collect())
-    lows, highs = [e[0] for e in ends], [e[1] for e in ends]
+
+    def hashed(lines: list[str]) -> int:
+        return xxhash.xxh3_64_intdigest("\n".join(lines).encode("utf-8", "replace")) - (1 << 63)
+
+    def outline(batches):
+        for batch in batches:
+            lines = [hashed([b[0] for b in blocks(page or "")]) for page in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(lines, pa.int64())], names=["host", "path", "k", "h"])
+
+    def ends(batches):
+        """The first and last runs of equal pages of a range, and its number of runs."""
+        first, last, count, place, run = [], [], 0, None, None
+        for batch in batches:
+            for h, p, k, lines in zip(*[c.to_pylist() for c in batch.columns]):
+                if place is None:
+                    low = (h, p, k)
+                place = (h, p, k)
+                if run is None or run[:2] != (h, lines):
+                    run = (h, lines, place)
+                    count += 1
+                    last = [*last[-1:], run]
+                    if len(first) < 2:
+                        first.append(run)
+        if count:
+            runs = first if count <= 2 else first + last[3 - count if count < 4 else -2 :]
+            yield pa.RecordBatch.from_pydict({"r": [pickle.dumps({"low": low, "high": place, "n_runs": count, "runs": runs})]})
+
+    light = keyed.select("host", "path", "k", "html").mapInArrow(outline, "host string, path string, k long, h long")
+    light = light.repartitionByRange(n, "host", "path", "k").sortWithinPartitions("host", "path", "k", "h")
+    # one row a range, four keys in it
+    ranges = sorted((pickle.loads(r[0]) for r in light.mapInArrow(ends, "r binary").collect()), key=lambda r: r["low"])
+    highs = [r["high"] for r in ranges]
+    wanted: dict = {}
+    for key, lines, j, side in _neighbours(ranges):
+        wanted.setdefault((key, lines), []).append((j, side))
 
     def parse(batches):
         for batch in batches:
@@ -193,18 +300,15 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             for h, p, k, i, u, page in zip(*[c.to_pylist() for c in batch.columns]):
                 found = blocks(page or "")
                 lines, flags = [b[0] for b in found], bytes(b[1] | b[2] << 1 for b in found)
-                j = bisect_left(highs, (h, p, k))
-                rows.append((j, False, h, p, k, i, u, lines, flags))
-                if (h, p, k) == highs[j] and j + 1 < len(highs):
-                    rows.append((j + 1, True, h, p, k, i, None, lines, b""))
-                if (h, p, k) == lows[j] and j:
-                    rows.append((j - 1, True, h, p, k, i, None, lines, b""))
-            kinds = [pa.int32(), pa.bool_(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.string()), pa.binary()]
-            names = ["j", "context", "host", "path", "k", "id", "url", "lines", "flags"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 9, kinds)], names=names)
-
-    parsed = keyed.mapInArrow(parse, "j int, context boolean, host string, path string, k long, id long, url string, lines array<string>, flags binary")
-    dealt = parsed.repartition(n, "j").sortWithinPartitions("j", "host", "path", "k", "context")
+                key, mark = (h, p, k), hashed(lines)
+                rows.append((bisect_left(highs, key), 0, h, p, k, mark, i, u, lines, flags))
+                rows += [(j, side, h, p, k, mark, i, None, lines, b"") for j, side in wanted.get((key, mark), ())]
+            kinds = [pa.int32(), pa.int8(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.string()), pa.binary()]
+            names = ["j", "side", "host", "path", "k", "h", "id", "url", "lines", "flags"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 10, kinds)], names=names)
+
+    parsed = keyed.mapInArrow(parse, "j int, side byte, host string, path string, k long, h long, id long, url string, lines array<string>, flags binary")
+    dealt = parsed.repartitionById(n, "j").sortWithinPartitions("j", "side", "host", "path", "k", "h")
 
     def difference(batches):
         """Runs of equal pages of one host; a run is done when the next begins."""
@@ -212,25 +316,29 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         place, lines, before, out = None, None, None, []
 
         def done(after):
-            neighbours = [x for x in (before, after) if x is not None]
-            for r in run:
-                if not r["context"]:
-                    in_main, off = [bool(f & 1) for f in r["flags"]], [bool(f & 2) for f in r["flags"]]
-                    text = main_lines(r["lines"], in_main, off, neighbours)
-                    out.append((r["id"], r["url"], "\n".join(text), len(r["lines"]), len(set().union(*[common_lines(r["lines"], x) for x in neighbours]))))
+            if not run:
+                return
+            shared: set = set()
+            for other in (before, after):
+                if other is not None:
+                    shared |= common_lines(lines, other)
+            for i, url, flags in run:
+                text, vetoed, settled = main_lines(lines, [bool(f & 1) for f in flags], [bool(f & 2) for f in flags], shared)
+                out.append((i, url, "\n".join(text), len(lines), len(shared), vetoed, settled))
 
         def batch_of(rows):
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32()])], names=[id_col, url_col, "text", "n_lines", "n_shared"])
+            kinds = [pa.int64(), pa.string(), pa.string(), *[pa.int32()] * 4]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=[id_col, url_col, "text", "n_lines", "n_shared", "n_vetoed", "n_marked"])
 
         for batch in batches:
             for r in batch.to_pylist():
                 here = (r["j"], r["host"])
-                if here == place and r["lines"] == lines:
-                    run.append(r)
-                    continue
-                done(r["lines"] if here == place else None)
-                before = lines if here == place else None
-                place, lines, run = here, r["lines"], [r]
+                if here != place or r["lines"] != lines:
+                    done(r["lines"] if here == place else None)
+                    before = lines if here == place else None
+                    place, lines, run = here, r["lines"], []
+                if not r["side"]:
+                    run.append((r["id"], r["url"], r["flags"]))
             if out:
                 yield batch_of(out)
                 out.clear()
@@ -238,4 +346,4 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         if out:
             yield batch_of(out)
 
-    return dealt.mapInArrow(difference, f"{id_col} long, {url_col} string, text string, n_lines int, n_shared int")
+    return dealt.mapInArrow(difference, f"{id_col} long, {url_col} string, text string, n_lines int, n_shared int, n_vetoed int, n_marked int")
