@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import guards, text, toolcalls
-from ..operators import compaction, episodes, labels, rollouts, search, tasks, verify
+from ..operators import compaction, episodes, labels, rollouts, runs, search, tasks, verify
 from ..streaming import ledger
 from .catalog import _wilson_sql, query
 
@@ -675,3 +675,122 @@ def file_listings(t):
 def step_notes(t):
     kind = F.when(F.col("event_id") % 3 == 0, "search").when(F.col("event_id") % 3 == 1, "edit").otherwise("read")
     return t("events").select("event_id", search.note(kind, F.lit("x{y}"), F.lit(3)).alias("note"))
+
+
+# ---------------------------------------------------------------- runs, edits, transcripts
+
+
+@query(
+    """select event_id, case when event_id % 5 = 0 then 'error' when event_id % 5 = 1 then 'timeout' when event_id % 7 = 0 then 'pass' else 'fail' end as status from events"""
+)
+def run_statuses(t):
+    i = F.col("event_id")
+    return t("events").select("event_id", runs.run_status(i % 5 != 0, i % 5 == 1, (i % 7).cast("int")).alias("status"))
+
+
+@query(
+    """select doc_id, 'error' as status, 0 as steps, coalesce(quality = 1, false) as resolved, case when doc_id % 2 = 0 then 'pip install failed' else 'not run' end as reason
+from documents left join (select doc_id, max(quality) as quality from labels group by 1) using (doc_id)"""
+)
+def record_defaults(t):
+    seen = t("labels").groupBy("doc_id").agg((F.max("quality") == 1).alias("resolved"))
+    rows = t("documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, "pip install failed").alias("error")).join(seen, "doc_id", "left")
+    return runs.with_defaults(rows).select("doc_id", "status", "steps", "resolved", "reason")
+
+
+@query(
+    """select event_id, case event_id % 6 when 0 then 'diff must not be empty' when 1 then 'path escapes the repository: ../x' when 2 then 'diff touches 2 files (a/x, b/y); edit one file per call'
+when 3 then 'diff is for ''a/x'' but path is ''a/z''; refusing to apply' when 4 then 'parent directory does not exist for: q/x' end as error from events"""
+)
+def edit_checks(t):
+    i = F.col("event_id") % 6
+    path = F.when(i == 1, "../x").when(i == 3, "a/z").when(i == 4, "q/x").otherwise("a/x")
+    diff = F.when(i == 0, " \n\t").when(i == 2, "+++ b/a/x\n@@\n+++ b/b/y\n").otherwise("+++ b/a/x\n@@\n")
+    rows = t("events").select("event_id", path.alias("path"), diff.alias("diff")).withColumn("targets", runs.diff_targets("diff"))
+    return rows.select("event_id", runs.edit_error(F.col("path"), F.col("diff"), F.col("targets"), F.lit(False), F.col("path") != "q/x").alias("error"))
+
+
+@query(
+    """select doc_id, 'f' || doc_id as path, true as ok, md5('changed' || chr(10) || array_to_string(string_split(text, chr(10))[2:], chr(10)) || case when contains(text, chr(10)) then '' else '' end) as digest
+from documents where contains(text, chr(10)) and not ends_with(text, chr(10))"""
+)
+def patched_trees(t):
+    rows = t("documents").where(F.contains("text", F.lit("\n")) & ~F.endswith("text", F.lit("\n"))).select("doc_id", F.format_string("f%d", "doc_id").alias("path"), "text")
+    diff = F.concat(F.lit("--- a/"), "path", F.lit("\n+++ b/"), "path", F.lit("\n@@ -1 +1 @@\n-"), F.substring_index("text", "\n", 1), F.lit("\n+changed"))
+    out = runs.apply_to_tree(rows, rows.select("doc_id", diff.alias("diff")), "doc_id")
+    return out.select("doc_id", "path", "ok", F.md5("text").alias("digest"))
+
+
+@query(
+    """with e as (select user_id, event_type, json_extract(props, '$.k')::int as k, event_id % 90 + 1 as s from events)
+select user_id, event_type, min(s)::int as low, max(s + greatest(k, 1) - 1)::int as high from e group by 1, 2"""
+)
+def hunk_envelopes(t):
+    diff = F.format_string("--- a/x\n+++ b/x\n@@ -%d,%s +1 @@ f\n x", F.col("event_id") % 90 + 1, F.get_json_object("props", "$.k"))
+    return runs.hunk_envelopes(t("events").select("user_id", "event_type", diff.alias("diff")), ["user_id", "event_type"], "diff")
+
+
+@query(
+    f"""with l as (select doc_id, line, line_no from {LINES}), e as (select doc_id, doc_id % 7 + 3 as low, doc_id % 7 + 5 as high from documents)
+select doc_id, line_no::int as n, md5(line) as line from l join e using (doc_id) where line_no between low - 2 and high + 2"""
+)
+def lines_around_edits(t):
+    lines = F.split("text", "\n")
+    listing = F.array_join(F.transform(lines, lambda x, i: F.concat((i + 1).cast("string"), F.lit(": "), x)), "\n")
+    reads = t("documents").select("doc_id", listing.alias("text"))
+    diff = F.format_string("@@ -%d,3 +1 @@", F.col("doc_id") % 7 + 3)
+    edits = runs.hunk_envelopes(t("documents").select("doc_id", diff.alias("diff")), ["doc_id"], "diff")
+    return runs.lines_around(reads, edits, ["doc_id"], "text", 2).select("doc_id", "n", F.md5("line").alias("line"))
+
+
+@query("select user_id, array_to_string(case when list_position(a, 3) > 0 then a[1:list_position(a, 3) - 1] else a end, ',') as ids from (select user_id, list(json_extract(props, '$.k')::int % 7 order by ts, event_id) as a from events group by 1)")
+def cut_generations(t):
+    k = F.get_json_object("props", "$.k").cast("int") % 7
+    rows = t("events").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", k.alias("k")))), lambda s: s["k"]).alias("a"))
+    return rows.select("user_id", F.array_join(runs.until_stop(F.col("a"), [3]), ",").alias("ids"))
+
+
+@query("select event_id, 'python -m pytest ' || case when event_id % 2 = 0 then 't.py::x' else 'a b' end as argv from events")
+def test_commands(t):
+    words = lambda s: F.array(*map(F.lit, s.split()))
+    argv = runs.test_argv(words("python -m pytest"), words("a b"), F.when(F.col("event_id") % 2 == 0, " t.py::x "))
+    return t("events").select("event_id", F.array_join(argv, " ").alias("argv"))
+
+
+@query("select conv_id, count(*)::int as n, md5(string_agg('[' || role || ']' || chr(10) || text, chr(10) || chr(10) order by turn)) as digest from conversations group by 1")
+def flat_contexts(t):
+    return _transcripts(t).select("conv_id", F.size("messages").alias("n"), F.md5(runs.flat_text(F.col("messages"))).alias("digest"))
+
+
+@query("select user_id, count(*)::int as n, count_if(event_type = 'error')::int as errors, count_if(event_type <> 'error')::int as silent from events group by 1")
+def transcripts_as_json(t):
+    """Transcripts written as JSON, without what is empty, and read back with their defaults."""
+    error = F.col("event_type") == "error"
+    call = F.struct(F.col("event_id").cast("string").alias("id"), F.col("event_type").alias("name"), F.lit("{}").alias("arguments"), F.when(error, "why").otherwise("").alias("reasoning"), F.array().cast("array<int>").alias("completion_ids"))
+    seen = F.struct(F.col("event_id").cast("string").alias("tool_call_id"), F.col("event_type").alias("name"), F.lit("c").alias("content"), F.when(error, True).alias("is_error"))
+    rows = t("events").groupBy("user_id").agg(F.struct(F.array(F.lit("m")).alias("messages"), F.lit(1).alias("steps"), F.collect_list(call).alias("tool_calls"), F.collect_list(seen).alias("observations")).alias("t"))
+    back = rows.select("user_id", runs.to_json(F.col("t")).alias("j")).where(~F.col("j").contains("completion_ids")).withColumn("t", runs.from_json(F.col("j")))
+    count = lambda a, f: F.size(F.filter(a, f))
+    return back.select("user_id", F.size("t.tool_calls").alias("n"), count("t.observations", lambda o: o["is_error"]).alias("errors"), count("t.tool_calls", lambda c: c["reasoning"] == "").alias("silent"))
+
+
+@query("select l_orderkey, count_if(l_returnflag <> 'N') as n, round(sum(case when l_returnflag <> 'N' then l_tax else 0 end) / greatest(count_if(l_returnflag <> 'N'), 1), 6) as loss from lineitem group by 1")
+def mean_losses(t):
+    rows = runs.mean_loss(t("lineitem").withColumn("on", F.expr(ON)), "l_tax", "on", "l_orderkey")
+    return rows.select("l_orderkey", "n", F.round("loss", 6).alias("loss"))
+
+
+@query()
+def code_changes(t):
+    """Whether documents differ, taken as Python and as text, from themselves with a comment."""
+    rows = t("documents").select("doc_id", "text", F.concat("text", F.lit("\n# note")).alias("after"))
+    path = F.when(F.col("doc_id") % 2 == 0, "a.py").otherwise("a.txt")
+    return rows.select("doc_id", runs.changes_code(path, "text", "after").alias("changed"))
+
+
+@query("select conv_id, bool_or(role = 'user') as kept from conversations group by 1")
+def kept_replays(t):
+    name = F.when(F.col("role") == "assistant", "submit").when(F.col("role") == "user", "run_tests")
+    message = F.struct("turn", F.when(F.col("role") == "user", "tool").otherwise(F.col("role")).alias("role"), name.alias("name"), F.lit("status=pass").alias("content"))
+    rows = t("conversations").groupBy("conv_id").agg(F.concat(F.array_sort(F.collect_list(message)), F.array(F.struct(F.lit(99).cast("long").alias("turn"), F.lit("assistant").alias("role"), F.lit("submit").alias("name"), F.lit("").alias("content")))).alias("m"))
+    return rows.select("conv_id", verify.kept_replay(F.col("m")).alias("kept"))

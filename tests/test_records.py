@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skein.functions import guards, patch, text, toolcalls
-from skein.operators import compaction, episodes, labels, search, tasks, verify
+from skein.operators import compaction, episodes, labels, runs, search, tasks, verify
 from skein.sources import jsonl
 from skein.streaming import ledger
 
@@ -254,3 +254,19 @@ def test_episodes_end(spark):
     rows = [("a", 1, "step"), ("a", 2, "submit"), ("a", 3, "step"), ("b", 1, "malformed"), ("b", 2, "malformed"), ("b", 3, "malformed"), ("c", 1, "malformed"), ("c", 2, "step"), ("c", 3, "step"), ("d", 1, "error")]
     got = {r.k: (r.steps, r.malformed, r.status) for r in ledger.episodes(spark.createDataFrame(rows, "k string, i int, kind string"), "k", "i", "kind", 3).collect()}
     assert got == {"a": (2, 0, "submitted"), "b": (3, 3, "error"), "c": (3, 1, "budget_exhausted"), "d": (1, 0, "error")}
+
+
+def test_code_signatures(spark):
+    same = [("x = 1  # a\n", "x  =  1\n\n"), ("def f():\n    return 1\n", "def f():\n  # c\n  return 1\n"), ("((", "((  \n# x")]
+    assert all(runs.code_signature(a) == runs.code_signature(b) for a, b in same) and runs.code_signature("x = 1") != runs.code_signature("x = 2")
+    df = spark.createDataFrame([("a.py", "x=1", "x = 1 # c"), ("a.txt", "x", "x "), ("b.py", None, "y")], "p string, a string, b string")
+    assert [r.c for r in df.select(runs.changes_code("p", "a", "b").alias("c")).collect()] == [False, True, True]
+
+
+def test_trees_are_patched_file_by_file(spark):
+    part = lambda p, a, b: f"--- a/{p}\n+++ b/{p}\n@@ -{'0,0' if not a else 1} +1 @@\n" + (f"-{a}\n" if a else "") + f"+{b}\n"
+    files = spark.createDataFrame([(1, "x", "a\nb\n"), (1, "y", "q\n")], "k long, path string, text string")
+    diffs = spark.createDataFrame([(1, part("x", "a", "A") + part("y", "zzz", "Z") + part("new", "", "n"))], "k long, diff string")
+    got = {r.path: (r.ok, r.text) for r in runs.apply_to_tree(files, diffs, "k").collect()}
+    assert got == {"x": (True, "A\nb\n"), "y": (False, None), "new": (True, "n\n")}
+    assert one(spark, runs.unnested(F.array(F.array(F.lit(1), F.lit(2))))) == [1, 2]
