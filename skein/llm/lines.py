@@ -7,8 +7,9 @@ counted and their first documents chosen.  The filter has a fixed size: 2**filte
 driver and to each task by default; over more lines it lets more suspects through and stays exact.
 Keys that are confirmed are sent to all tasks only while they fit max_broadcast_bytes; beyond that the
 suspected lines meet them in a shuffle join.
-Nulls: a null text is one empty line, as an empty one.  Each row is a document, repeated rows included.  Very long
-lines are keys as any other.  Empty tables give empty results.  Other columns are not returned.
+Nulls: a null text is one empty line, as an empty one.  Each row is a document, repeated rows and null ids included (with
+keep_first, rows equal in id and text count as one).  Ties: of one key's lines in the first document the first stays.  Very
+long lines are keys as any other.  Empty tables give empty results.  Other columns are not returned, whatever their names.
 """
 
 from __future__ import annotations
@@ -151,17 +152,14 @@ def line_dedup(
             for i, _, buf, offsets in chunks(batch.column(1), 1 << 23):
                 h, row, starts, ends = line_hashes(buf, offsets)
                 s = np.flatnonzero(_suspect(h, bits.value, filter_bits))
-                order = s[np.lexsort((row[s], h[s]))]
-                h, row, starts, ends = h[order], row[order], starts[order], ends[order]
-                new = np.append(True, (h[1:] != h[:-1]) | (row[1:] != row[:-1])) if len(h) else np.zeros(0, bool)
-                h, row, starts, ends = h[new], row[new], starts[new], ends[new]
-                head = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
-                for a, b in zip(head.tolist(), np.append(head[1:], len(h)).tolist()):
-                    key = line_key(buf[starts[a] : ends[a]].tobytes())
+                seen: dict[bytes, set[int]] = {}
+                for a, b, r in zip(starts[s].tolist(), ends[s].tolist(), row[s].tolist()):
+                    seen.setdefault(line_key(buf[a:b].tobytes()), set()).add(r)
+                for key, of in seen.items():
                     if long_enough(key):
                         keys.append(key)
-                        n.append(b - a)
-                        least.append(int(uid[i + row[a:b]].min()) if keep_first else None)
+                        n.append(len(of))
+                        least.append(min(int(uid[i + r]) for r in of) if keep_first else None)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(n, pa.int64()), pa.array(least, pa.int64())], names=["key", "n", "uid"])
 
     counted = rows.select("uid", "text").mapInArrow(count, "key binary, n long, uid long")
