@@ -1,21 +1,30 @@
-"""Operator 1, benchmark decontamination by a lossless filter of word triples and exact edit distance.
+"""Operator 1, benchmark decontamination: CGK embedding, bit-sampling LSH over item-sized windows, exact verification.
 
-Texts and items are lower-cased words of letters and digits.  An edit spoils at most three of an item's word triples, so
-the window of as many words as the item has, from the start of a span within the bound, still holds a number of them
-(the words that inserted ones push out of the window are counted in).  Every stretch of a text that holds so many
-triples of one item close enough together is verified by the exact edit distance of the item to its best span, so no
-match is left to chance.  Windows may run past the end of a text, so a text shorter than an item, or one that ends in a
-passage with deleted words, is searched as well.  Triples are compared by 64-bit hashes.
+Texts and items are lower-cased words of letters and digits.  A CGK walk reads a window of words and, at every step, writes
+the word it stands on and moves on or not as a random bit of the step and the word says; windows at a small edit distance
+write sequences at a small Hamming distance.  A repetition has its own walk and samples one coordinate of it; a window is a
+candidate for an item where a repetition's samples agree.  How many repetitions reach the target recall is measured for
+each length, with substitutions, insertions and deletions at the bound (`repetitions`): about one for every two words.  Items
+over PIECE words are hashed in pieces: some piece has at most its share of the edits.  Candidates are verified by the exact
+edit distance of the item to its best span.
+
+Which windows are embedded.  An edit spoils at most three of an item's word triples, so the window of as many words as the
+item has, from the start of a span within the bound, still holds a number of them; windows elsewhere cannot match and are
+left out without loss.  Windows may run past the end of a text, so a text shorter than an item, or one that ends in a
+passage with deleted words, is searched as well.  Triples and words are compared by 64-bit hashes.
 
 The items are sent in blocks of at most block_words words, so what is sent stays bounded; every document meets every
 block, without any shuffle.
 Nulls and empty texts, of documents or items, match nothing; null ids come back as null.  Items with fewer than
-min_words words match only themselves, word for word.  Repeated rows are reported each.  Empty tables give empty results.
+min_words words match only themselves, word for word.  Repeated rows are reported each.  Ties: of spans at one distance the
+shortest, of those the first.  Very long texts and items are searched whole.  Other columns are not read, whatever their
+names.  Empty tables give empty results.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,9 +32,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import materialise
-from .words import NOT_ALNUM, chunks, same_row, span_hashes, spans, windows
+from .words import NOT_ALNUM, chunks, mix, same_row, span_hashes, spans, windows
 
 TRIPLE_BITS = 24
+PIECE = 128
+TARGET, TRIALS = 0.999, 500
 
 
 def bound(n_words: int, percent: int, min_words: int) -> int:
@@ -38,23 +49,75 @@ def triples(h: np.ndarray) -> np.ndarray:
     return windows(h, 3) >> np.uint64(64 - TRIPLE_BITS)
 
 
-def best_span(item: list[int], text: list[int]) -> tuple[int, int, int]:
-    """(edit distance, start, end) of the span of text nearest to item, the earliest end of them."""
-    previous = [(0, j) for j in range(len(text) + 1)]
-    for i, a in enumerate(item, 1):
-        row = [(i, 0)]
-        for j, b in enumerate(text, 1):
-            d, s = previous[j - 1]
-            best = (d + (a != b), s)
-            up, left = previous[j], row[j - 1]
-            if up[0] + 1 < best[0]:
-                best = (up[0] + 1, up[1])
-            if left[0] + 1 < best[0]:
-                best = (left[0] + 1, left[1])
-            row.append(best)
-        previous = row
-    d, start, end = min((d, j - s, j) for j, (d, s) in enumerate(previous))
-    return d, end - start, end
+def walk(words: np.ndarray, begin: int, end: int) -> np.ndarray:
+    """The sampled words of repetitions begin to end - 1 of the CGK walks over rows of words; 0 past a row's end."""
+    n = words.shape[1]
+    padded = np.concatenate([words, np.zeros((len(words), 1), np.uint64)], axis=1)
+    name = mix(np.arange(begin, end, dtype=np.uint64) + np.uint64(0xC6B0_0000))
+    sample = ((name >> np.uint64(32)) * np.uint64(2 * n) >> np.uint64(32)).astype(np.int64)  # a coordinate of 2n steps
+    order = np.argsort(-sample, kind="stable")
+    name, sample = name[order], sample[order]
+    at, out = np.zeros((len(words), end - begin), np.int64), np.zeros((len(words), end - begin), np.uint64)
+    for t in range(int(sample[0]) + 1):
+        m = int(np.searchsorted(-sample, -t, "right"))  # walks that are still under way
+        word = np.take_along_axis(padded, at[:, :m], axis=1)
+        here = sample[:m] == t
+        if here.any():
+            out[:, order[:m][here]] = word[:, here]
+        step = mix(word + mix(name[:m] + np.uint64(t))) & np.uint64(1)
+        at[:, :m] = np.minimum(at[:, :m] + step.astype(np.int64), n)
+    return out
+
+
+def agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (a == b) & (a != 0)
+
+
+@lru_cache(maxsize=None)
+def _measured(n: int, limit: int) -> int:
+    """The least repetitions, in eights, that find TARGET of random windows at `limit` edits, of each kind."""
+    g = np.random.default_rng(n)
+    word = lambda *size: g.integers(1, 1 << 63, size, dtype=np.uint64)
+    items, windows_ = word(3 * TRIALS, n), []
+    for i, item in enumerate(items):
+        places = np.sort(g.choice(n, limit, replace=False))
+        if i % 3 == 0:
+            new = item.copy()
+            new[places] = word(limit)
+        elif i % 3 == 1:
+            new = np.insert(item, places, word(limit))
+        else:
+            new = np.concatenate([np.delete(item, places), word(limit)])
+        windows_.append(new[:n])
+    pending = np.arange(len(items))
+    windows_, done = np.array(windows_), 0
+    while max(np.bincount(pending % 3, minlength=3)) > (1 - TARGET) * TRIALS:
+        found = agree(walk(items[pending], done, done + 8), walk(windows_[pending], done, done + 8)).any(axis=1)
+        pending, done = pending[~found], done + 8
+    return done
+
+
+def repetitions(n: int, limit: int) -> int:
+    """Repetitions for windows of n words and `limit` edits: those of the next power of two with as large a share of edits."""
+    if not limit:
+        return 1
+    size = 1 << (n - 1).bit_length()
+    return _measured(size, min(-(-limit * size // n), size - 1))
+
+
+def best_span(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
+    """(edit distance, start, end) of the span of text nearest to item; of these the shortest, then the first."""
+    m = len(text) + 1
+    scale = np.int64(m + 1)
+    column = np.arange(m, dtype=np.int64)
+    cells, steps = column.copy(), column * scale  # distance * scale + start
+    for a in item:
+        row = cells + scale
+        row[1:] = np.minimum(row[1:], cells[:-1] + np.where(text == a, 0, scale))
+        cells = np.minimum.accumulate(row - steps) + steps
+    d, start = cells // scale, cells % scale
+    at = np.lexsort((column, column - start, d))[0]
+    return int(d[at]), int(start[at]), int(at)
 
 
 class ItemIndex:
@@ -73,7 +136,12 @@ class ItemIndex:
         for w in self.words:
             self.triples[triples(w)] = True
         self.short = defaultdict(list)
-        self.owners = {}
+        self.owners, self.pieces = {}, {}
+        for k, w in enumerate(self.words):
+            if len(w) >= 3:
+                ends = np.linspace(0, len(w), -(-len(w) // PIECE) + 1).astype(int).tolist()
+                share = bound(len(w), percent, min_words) // (len(ends) - 1)
+                self.pieces[k] = [(a, b - a, walk(w[None, a:b], 0, repetitions(b - a, share))[0]) for a, b in zip(ends[:-1], ends[1:])]
         for n, ks in self.lengths.items():
             if n < 3:
                 for k in ks:
@@ -130,6 +198,19 @@ class ItemIndex:
         ends = np.append(begins[1:], len(i)) - 1
         yield from zip(row[begins].tolist(), item[i[begins]].tolist(), low[begins].tolist(), end[ends].tolist())
 
+    def candidate(self, k: int, h: np.ndarray, a: int, b: int, end: int) -> bool:
+        """Whether some window of a piece's size in the stretch [a, b) of a text that ends at `end` agrees with item k."""
+        n = len(self.words[k])
+        limit = bound(n, self.percent, self.min_words)
+        for offset, size, samples in self.pieces[k]:
+            starts = np.arange(max(a, a + offset - limit), max(a, b - n + offset + limit) + 1)
+            at = starts[:, None] + np.arange(size)
+            words = np.where(at < end, h[np.minimum(at, len(h) - 1)], np.uint64(0))
+            for r in range(0, len(samples), 8):
+                if agree(walk(words, r, min(r + 8, len(samples))), samples[r : r + 8]).any():
+                    return True
+        return False
+
     def matches(self, h: np.ndarray, first: np.ndarray):
         """(row, item, distance, start, end) of the words h of some rows; first: each row's first word and their number."""
         row_of = np.repeat(np.arange(len(first) - 1), np.diff(first))
@@ -139,7 +220,9 @@ class ItemIndex:
         for n in self.lengths:
             limit = bound(n, self.percent, self.min_words)
             for row, k, a, b in self.stretches(n, h, first, row_of, all3, known):
-                d, start, end = best_span(self.words[k].tolist(), h[a:b].tolist())
+                if n >= 3 and not self.candidate(k, h, a, b, int(first[row + 1])):
+                    continue
+                d, start, end = best_span(self.words[k], h[a:b])
                 if d <= limit:
                     best = (d, a + start - int(first[row]), a + end - int(first[row]))
                     if (row, k) not in found or best < found[row, k]:
@@ -224,18 +307,20 @@ def decontaminate(
     Each row is judged by its own text where it lies, so ids, null or repeated, play no part and nothing is shuffled; more
     blocks of items are more filters in the same pass.  Columns are as they were, whatever their names.
     """
-    spark, at, schema = docs.sparkSession, docs.columns.index(text_col), docs.schema
+    spark, at = docs.sparkSession, docs.columns.index(text_col)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))  # one column, whatever the names inside
+    schema = rows.schema
 
     def task(shared):
         def clean(batches):
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)
-                for i, h, first in _words(batch.column(at).cast(pa.string())):
+                for i, h, first in _words(batch.column(0).field(at).cast(pa.string())):
                     keep[[i + row for row, *_ in shared.value.matches(h, first)]] = False
                 yield batch.filter(pa.array(keep))
 
         return clean
 
     for block in item_blocks(benchmark, item_col, item_text_col, block_words):
-        docs = docs.mapInArrow(task(spark.sparkContext.broadcast(ItemIndex(block, percent, min_words))), schema)
-    return docs
+        rows = rows.mapInArrow(task(spark.sparkContext.broadcast(ItemIndex(block, percent, min_words))), schema)
+    return rows.select("row.*")

@@ -117,8 +117,49 @@ def test_decontamination_at_the_end_of_a_text(spark):
 
 
 def test_best_span():
-    assert decontam.best_span([1, 2, 3], [9, 1, 2, 3, 9]) == (0, 1, 4)
-    assert decontam.best_span([1, 2, 3], [9, 1, 3, 9])[0] == 1
+    a = lambda *x: np.array(x, np.uint64)
+    assert decontam.best_span(a(1, 2, 3), a(9, 1, 2, 3, 9)) == (0, 1, 4)
+    assert decontam.best_span(a(1, 2, 3), a(9, 1, 3, 9))[0] == 1
+    for _ in range(300):
+        item, text = ([rnd.randrange(4) for _ in range(rnd.randrange(1, 7))] for _ in range(2))
+        text = text[: rnd.randrange(7)]
+
+        def distance(x, y):
+            row = list(range(len(y) + 1))
+            for i, p in enumerate(x, 1):
+                row, last = [i], row
+                for j, q in enumerate(y, 1):
+                    row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (p != q)))
+            return row[-1]
+
+        spans = [(distance(item, text[i:j]), j - i, j, i) for i in range(len(text) + 1) for j in range(i, len(text) + 1)]
+        d, start, end = decontam.best_span(a(*item), a(*text))
+        assert d == min(spans)[0] == distance(item, text[start:end])
+
+
+def test_repetitions_reach_the_target():
+    g = np.random.default_rng(77)  # other words than those the repetitions were fitted on
+    for n, limit in ((10, 2), (30, 6), (60, 12), (100, 20), (128, 25)):
+        reps = decontam.repetitions(n, limit)
+        for kind in ("substitute", "insert", "delete", "mixed"):
+            items, texts = [], []
+            for _ in range(200):
+                item = g.integers(1, 1 << 62, n, dtype=np.uint64)
+                w = np.array([hash(x) & (1 << 62) - 1 if isinstance(x, str) else x for x in edited(item.tolist(), kind, limit)] + g.integers(1, 1 << 62, n).tolist(), np.uint64)
+                items.append(item)
+                texts.append(w[:n])
+            found = decontam.agree(decontam.walk(np.array(items), 0, reps), decontam.walk(np.array(texts), 0, reps)).any(axis=1)
+            assert found.mean() >= 0.99, (n, kind, found.mean(), reps)
+        unlike = g.integers(1, 1 << 62, (200, n), dtype=np.uint64)
+        assert not decontam.agree(decontam.walk(np.array(items), 0, reps), decontam.walk(unlike, 0, reps)).any()
+
+
+def test_decontamination_of_items_in_pieces(spark):
+    item = ["j%d" % i for i in range(300)]
+    rows = [(k, " ".join(rnd.choices(VOCAB, k=50) + edited(item, kind, 60) + rnd.choices(VOCAB, k=50))) for k, kind in enumerate(["substitute", "insert", "delete", "mixed"] * 3)]
+    rows += [(100, " ".join(item)), (101, " ".join(item[:270])), (102, " ".join(edited(item, "substitute", 90)))]
+    got = decontam.benchmark_matches(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string"))
+    assert {r.doc_id: r.distance <= 60 for r in got.collect()} == {k: True for k in [*range(12), 100, 101]}
 
 
 def test_rans_round_trip():
@@ -274,7 +315,7 @@ def test_quality_stage_removes_failing_lines(spark):
 
 @pytest.mark.parametrize("limit", [1 << 20, 0])
 @pytest.mark.parametrize("first", [True, False])
-def test_lines(docs, empty, limit, first):
+def test_lines(docs, empty, odd, limit, first):
     least = 2 if first else 10
     got = {r.doc_id: r for r in lines.line_dedup(docs, least, 1, first, filter_bits=16, max_broadcast_bytes=limit).collect()}
     count = Counter(k for _, t in DOCS for k in {lines.line_key(x) for x in (t or "").encode().split(b"\n")})
@@ -289,6 +330,12 @@ def test_lines(docs, empty, limit, first):
             seen.add(k)
         assert (got[i].n_lines, got[i].n_dropped, got[i].kept_text) == (len(rows), len(rows) - len(left), b"\n".join(left).decode()), i
     assert lines.line_dedup(empty, filter_bits=16).count() == 0
+    got = lines.line_dedup(odd, 3, 1, first, filter_bits=16, max_broadcast_bytes=limit).collect()
+    # the passage is in four rows; where the first stays, rows alike in id and text are one document
+    if first:
+        assert sorted((str(r.doc_id), r.n_dropped) for r in got if r.kept_text or r.n_dropped)[:2] == [("3", 1), ("7", 0)]
+    else:
+        assert sorted((str(r.doc_id), r.n_dropped) for r in got) == [("3", 1), ("7", 0), ("7", 1), ("7", 1), ("None", 0), ("None", 1)]
 
 
 def test_mixing(spark, docs, empty, odd):
