@@ -73,10 +73,10 @@ def padded(rows: DataFrame, batch: str, pad_id: int, multiple: int = 8) -> DataF
 
 def batch_slices(rows: DataFrame, batch: str) -> DataFrame:
     """logits_to_keep, the sorted union of a batch's supervised rows, and each row's shift_labels over it."""
-    cut = rows.withColumn("_s", sliced(F.col("labels")))
-    keep = F.array_sort(F.array_distinct(F.flatten(F.collect_list("_s.keep").over(Window.partitionBy(batch)))))
-    found = F.map_from_arrays("_s.keep", "_s.targets")
-    return cut.withColumn("logits_to_keep", keep).withColumn("shift_labels", F.transform("logits_to_keep", lambda p: F.coalesce(F.element_at(found, p), F.lit(MASKED)))).drop("_s")
+    keep = F.array_sort(F.array_distinct(F.flatten(F.collect_list("_keep"))))
+    union = rows.select(batch, sliced(F.col("labels"))["keep"].alias("_keep")).groupBy(batch).agg(keep.alias("logits_to_keep"))
+    # the row of logits p predicts the label after it
+    return rows.join(union, batch).withColumn("shift_labels", F.transform("logits_to_keep", lambda p: F.coalesce(F.get("labels", p + 1), F.lit(MASKED))))
 
 
 def length(messages: list[dict]) -> int:

@@ -18,8 +18,9 @@ def capped(a: Column, cap: int) -> Column:
 
 def budgeted(items: Column, budget: int = 6000) -> Column:
     """The first items whose lengths, plus one each, stay within a budget."""
+    total = F.aggregate(items, F.lit(0), lambda n, x: n + F.length(x) + 1)
     ends = F.transform(items, lambda _, i: F.aggregate(F.slice(items, F.lit(1), i + 1), F.lit(0), lambda n, x: n + F.length(x) + 1))
-    return F.filter(items, lambda _, i: F.get(ends, i) <= budget)
+    return F.when(total <= budget, items).otherwise(F.filter(items, lambda _, i: F.get(ends, i) <= budget))
 
 
 def django_labels(entries: Column) -> Column:
