@@ -5,8 +5,8 @@ Hamming distance of two sketches is never above the symmetric difference of the
 difference is at most d, which follows from the sizes; sizes are banded so that a pair shares a scheme with one d.
 The sketch is cut into d + 1 + t parts, so linked pairs agree on t + 1 of them; each set posts its d + 1 parts with most
 shingles (an order of the parts' contents alone, so linked pairs still share one), and equal parts meet in an equi-join.
-The wide sketch's parts are kept as 64-bit XOR codes of their bits.  A folded sketch of 512 bits, then COPIES independent
-ones of two to four bits a shingle, bound the distance again before the sets themselves verify a pair.
+The wide sketch's parts are kept as 64-bit XOR codes of their bits.  A folded sketch of 512 bits, then one of two to four bits
+a shingle (of small sets COPIES independent ones), bound the distance again before the sets themselves verify a pair.
 
 Components.  Texts with equal sets are one class from the start.  In a bucket of equal parts every class first meets the
 least class only; the links found make components.  Then rounds follow: the classes of a bucket that are in different
@@ -39,7 +39,7 @@ from .words import chunks, mix, span_hashes, spans, windows
 FOLD = 512
 SEEN = 1 << 17
 BLOCK = 512
-COPIES, FEW = 3, 64
+COPIES, SMALL, FEW = 3, 256, 64
 
 
 def row_sets(buf: np.ndarray, offsets: np.ndarray, size: int):
@@ -94,9 +94,14 @@ def parity(values: np.ndarray, bits: int) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8))
 
 
+def copies(n: int) -> int:
+    """How many sketches a set of n shingles has: in a narrow one more of a pair's flips meet."""
+    return COPIES if n <= SMALL else 1
+
+
 def parities(values: np.ndarray, bits: int) -> np.ndarray:
-    """COPIES sketches, each by a hash of its own, a row each; the first is parity(values, bits)."""
-    return np.stack([parity(mix(values + np.uint64(c)) if c else values, bits) for c in range(COPIES)])
+    """The sketches of a set, each by a hash of its own, a row each; the first is parity(values, bits)."""
+    return np.stack([parity(mix(values + np.uint64(c)) if c else values, bits) for c in range(copies(len(values)))])
 
 
 def narrowed(sketch: np.ndarray, size: int) -> np.ndarray:
@@ -144,11 +149,12 @@ def sketches(docs: DataFrame, size: int, percent: int, id_col: str, text_col: st
 
 def near_pairs(sketch: list[bytes], n: np.ndarray, apart: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(x, y, distance) of the pairs of sets that the matrix `apart` asks for and that sizes and sketches leave possible."""
-    width = min(map(len, sketch)) // COPIES
-    wide = np.stack([narrowed(np.frombuffer(x, np.uint8).reshape(COPIES, -1), width) for x in sketch]).view(np.uint64)
+    many = [copies(k) for k in n.tolist()]
+    both, width = min(many), min(len(x) // c for x, c in zip(sketch, many))
+    wide = np.stack([narrowed(np.frombuffer(x, np.uint8).reshape(c, -1)[:both], width) for x, c in zip(sketch, many)]).view(np.uint64)
     rows, columns = np.flatnonzero(apart.any(1)), np.flatnonzero(apart.any(0))
     distance = np.zeros((len(rows), len(columns)), np.int32)
-    for c in range(COPIES):  # each is a lower bound; the greatest counts
+    for c in range(both):  # each is a lower bound; the greatest counts
         one = np.zeros_like(distance)
         for word in wide[:, c].T:
             one += np.bitwise_count(word[rows][:, None] ^ word[columns][None, :])
@@ -263,7 +269,9 @@ class Join:
         posted = some.where("keys is not null").select("node", F.explode("keys").alias("key"))
         bucket = Window.partitionBy("key")
         met = posted.withColumns({"least": F.min("node").over(bucket), "most": F.max("node").over(bucket)}).where("least != most")
-        self.met = materialise(met.select("key", "node", "least").distinct(), "buckets")  # clustered by key: no further shuffle
+        # more: besides the least there are two classes or more
+        more = F.min(F.when(F.col("node") != F.col("least"), F.col("node"))).over(bucket) != F.col("most")
+        self.met = materialise(met.withColumn("more", more).select("key", "node", "least", "more").distinct(), "buckets")  # clustered by key: no further shuffle
 
     def screened(self, pairs: DataFrame, name: str) -> DataFrame:
         """The pairs (a, b) that sizes and folded sketches leave possible."""
@@ -350,7 +358,7 @@ class Join:
         failed = stars.join(links, ["a", "b"], "left_anti")
         roots = materialise(components(links), "roots")
         # every pair with the least of a bucket has been tried; rounds over the others
-        rows = self.met.where("node != least")
+        rows = self.met.where("more and node != least")
         for step in range(1, 1 << 30):
             rows, full = self.members(rows, roots, failed)
             found = materialise(compared(full, self.percent, True), f"round{step}")
