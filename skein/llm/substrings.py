@@ -6,10 +6,10 @@ shares a seed.  Only seeds that occur twice go on.  Extension: around them, the
 the seed meet by hash, all occurrences at once instead of pair by pair, and lose to the earliest of their kind.  The
 union of the windows that lose is the maximal repeats, returned as word spans.
 
-Each task folds what it holds of one seed or window first: of repeats inside a task only the earliest goes to the
-shuffle, so a passage in a third of all documents sends one row a task.
+Each batch of some thousand texts folds what it holds of one seed or window first: of repeats inside it only the earliest
+goes to the shuffle, so a passage in a third of all documents sends a row a batch.
 Nulls: a null text is empty; ids that are null or repeat are handled by keys.with_uid (rows equal in id and text are
-one document).  Texts under min_words words lose nothing.  Empty tables give empty results.  Other columns are not
+one document).  Ties: of windows at one place in rows that count as one document, all stay or go.  Texts under min_words words lose nothing.  Empty tables give empty results.  Other columns are not
 returned.  Hashes are 64 bits.
 """
 
@@ -84,12 +84,12 @@ def repeated_spans(rows: DataFrame, min_words: int) -> DataFrame:
             many = count[inverse] > 1
             h = np.where(many, _unique_keys(u, at), h)
             told = keys[count > 1]
+            # one number for the place, from 1, and whether the task has the seed once or more; 0 for a row that only tells so
             yield _batch(
-                ["key", "uid", "at", "c"],
+                ["key", "uid", "place"],
                 np.concatenate([h, told]).view(np.int64),
                 np.concatenate([u, np.zeros(len(told), np.int64)]),
-                np.concatenate([at, np.full(len(told), -1)]).astype(np.int32),
-                np.concatenate([np.where(many, 2, 1), np.full(len(told), 2)]).astype(np.int8),
+                np.concatenate([(at + 1) * 4 + np.where(many, 2, 1), np.full(len(told), 2)]),
             )
 
     def contest(batches):
@@ -126,23 +126,25 @@ def repeated_spans(rows: DataFrame, min_words: int) -> DataFrame:
             fh, fu, fa = h[~later], u[~later], at[~later]
             order = np.lexsort((fa, fu))
             fh, fu, fa = fh[order], fu[order], fa[order]
+            # one number for the place and, of windows that are settled, how many follow each other from there
             yield _batch(
-                ["key", "uid", "at", "n"],
+                ["key", "uid", "place"],
                 np.concatenate([fh, _unique_keys(lu[head], la[head])]).view(np.int64),
                 np.concatenate([fu, lu[head]]),
-                np.concatenate([fa, la[head]]).astype(np.int32),
-                np.concatenate([np.zeros(len(fu), np.int32), length.astype(np.int32)]),
+                np.concatenate([fa, la[head] + (length << 32)]),
             )
 
     texts = rows.select("uid", "id", "text")
-    found = texts.mapInArrow(seeds, "key long, uid long, at int, c byte")
-    found = found.withColumn("total", F.sum("c").over(Window.partitionBy("key"))).where("total > 1 and at >= 0")
-    found = found.groupBy("uid").agg(F.collect_list("at").alias("at"))
+    found = texts.mapInArrow(seeds, "key long, uid long, place long")
+    found = found.withColumn("total", F.sum(F.col("place").bitwiseAND(3)).over(Window.partitionBy("key"))).where("total > 1 and place >= 4")
+    found = found.groupBy("uid").agg(F.collect_list((F.shiftright("place", 2) - 1).cast("int")).alias("at"))
     joined = texts.join(found.hint("shuffle_hash"), "uid").select("uid", "id", "text", "at")
-    met = joined.mapInArrow(contest, "key long, uid long, at int, n int")
-    earliest = F.min(F.struct("uid", "at")).over(Window.partitionBy("key"))
-    lost = met.withColumn("e", earliest).where("n > 0 or e.uid != uid or e.at != at")
-    return lost.groupBy("uid").agg(F.collect_list(F.struct("at", F.greatest("n", F.lit(1)).alias("n"))).alias("spans"))
+    met = joined.mapInArrow(contest, "key long, uid long, place long")
+    earliest = F.min(F.struct("uid", "place")).over(Window.partitionBy("key"))
+    settled = F.shiftright("place", 32)
+    lost = met.withColumn("e", earliest).where((settled > 0) | (F.col("e.uid") != F.col("uid")) | (F.col("e.place") != F.col("place")))
+    span = F.struct(F.col("place").bitwiseAND(0x7FFFFFFF).cast("int").alias("at"), F.greatest(settled, F.lit(1)).cast("int").alias("n"))
+    return lost.groupBy("uid").agg(F.collect_list(span).alias("spans"))
 
 
 def substring_dedup(docs: DataFrame, min_words: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
