@@ -1,12 +1,12 @@
-"""The ten operators as queries over the driver's tables, and their SQL where SQL can express them."""
+"""The operators as queries over the driver's tables, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import decontam, html, jaccard, lines, mixing, quality, substrings, tokens, urlfilter, warc
+from . import bpe, decontam, html, jaccard, lines, mixing, quality, repair, substrings, tokens, trie, urlfilter, warc
 
 #: The rules of op10, (host, path, verdict).
 URL_RULES = [
@@ -78,6 +78,51 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", "verdict")
 
 
+def rebuilt(conversations: DataFrame) -> DataFrame:
+    """(id, turns) of op11: the first h turns of conversation c - c % 20, then what c has after its own first h; h = crc32(c) % 4."""
+    keyed = trie.turn_keys(conversations).withColumn("base", F.expr("id - id % 20"))
+    turns = trie.ordered_turns(keyed.repartition("base"), "base")  # at most 20 conversations a base, so all of them fit a window
+    h = (F.crc32(F.col("id").cast("string")) % 4).cast("int")
+    begin = F.max(F.when(F.col("id") == F.col("base"), F.slice("turns", 1, 3))).over(Window.partitionBy("base"))
+    turns = turns.select("id", "turns", h.alias("h"), begin.alias("begin"))
+    none = F.slice("turns", 1, 0)
+    own = F.slice("turns", F.col("h") + 1, F.greatest(F.size("turns") - F.col("h"), F.lit(0)))
+    return turns.select("id", F.concat(F.coalesce(F.slice("begin", F.lit(1), F.col("h")), none), own).alias("turns"))
+
+
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = trie.trie(trie.sequences(rebuilt(_table(spark, sf_dir, "conversations"))))
+    return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+def damaged(conversations: DataFrame) -> DataFrame:
+    """The rows of op12: by crc32(conv_id:turn) % 20 dropped (role and text null), emptied, without stops, repeated, made a user's."""
+    space = F.lit(" ")
+    kind = F.crc32(F.concat(F.col("conv_id").cast("string"), F.lit(":"), F.coalesce(F.col("turn").cast("string"), space))) % 20
+    rows = conversations.select("conv_id", "turn", F.coalesce("role", space).alias("role"), F.coalesce("text", space).alias("text"), kind.alias("kind"))
+    role = F.when(F.col("kind") == 4, "user").when(F.col("kind") != 0, F.col("role"))
+    text = F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.regexp_replace("text", "[.!?]", "")).when(F.col("kind") != 0, F.col("text"))
+    times = F.explode(F.array_repeat(F.lit(0), F.when(F.col("kind") == 3, 2).otherwise(1)))
+    return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), times.alias("copy")).drop("copy")
+
+
+def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repair.repair(damaged(_table(spark, sf_dir, "conversations")))
+    text = F.array_join(F.transform("repaired", lambda t: F.concat(t["role"], F.lit(":"), t["text"])), "\n")
+    return out.select(F.col("id").alias("conv_id"), "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", F.sha2(text, 256).alias("repaired_sha256"))
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    with open(tokenizer_path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        ranks = f.read()
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN).drop("text"), ranks)
+    ids = F.concat_ws(",", F.col("ids").cast("array<string>"))
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -96,6 +141,9 @@ def queries() -> dict:
         "op8_mixing": op8_mixing,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_url_filters": op10_url_filters,
+        "op11_conversation_trie": op11_conversation_trie,
+        "op12_structure_repair": op12_structure_repair,
+        "op13_byte_bpe": op13_byte_bpe,
         "pipeline": pipeline,
     }
 
@@ -129,6 +177,63 @@ b as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_fail
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and 100 * kept_chars >= 50 * word_chars as kept from b"""
 
 
+def _crc32_sql(text: str) -> str:
+    """CRC-32 of an ASCII string, a bit at a time."""
+    bits = f"flatten(list_transform(string_split({text}, ''), lambda c: list_transform(range(8), lambda k: ((ascii(c) >> k::int) & 1)::bigint)))"
+    return f"xor(list_reduce(list_prepend(4294967295::bigint, {bits}), lambda a, b: xor(a >> 1, 3988292384::bigint * (xor(a, b) & 1))), 4294967295::bigint)"
+
+
+def _trie_sql() -> str:
+    return f"""
+with t as (select conv_id, coalesce(role, '') as role, coalesce(text, '') as text, turn from conversations where conv_id is not null),
+k as (select conv_id, md5(length(role) || ':' || role || text) as k, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) as w, turn from t),
+o as (select *, row_number() over (partition by conv_id order by turn nulls first, k) as i from k),
+c as (select conv_id, conv_id - conv_id % 20 as base, {_crc32_sql("conv_id::varchar")} % 4 as h from (select distinct conv_id from t)),
+r as (select c.conv_id, o.i, k, w from c join o on o.conv_id = c.base and o.i <= h union all select c.conv_id, o.i, k, w from c join o on o.conv_id = c.conv_id and o.i > h),
+s as (select conv_id, list(k order by i) as ks, list(w order by i) as ws from r group by conv_id),
+f as (select conv_id, coalesce(ks, []) as ks, coalesce(ws, []) as ws from c left join s using (conv_id)),
+m as (select conv_id, d, md5(array_to_string(ks[1:d], ',')) as p, case when d > 0 then md5(array_to_string(ks[1:d - 1], ',')) end as up,
+  case when d > 0 then ws[d] else 0 end as w, d = len(ks) as ends from (select *, unnest(range(len(ks) + 1)) as d from f)),
+n as (select d, p, any_value(up) as up, min(conv_id) as conv_id, count(*) as n, any_value(w) as w, string_agg(conv_id::varchar, ',' order by conv_id) filter (where ends) as e from m group by d, p),
+x as (select n.*, (select count(*) from n y where y.d = n.d + 1 and y.up = n.p) as n_children from n),
+u as (select distinct a.d, a.p, b.d as d2, b.p as p2 from m a join m b on a.conv_id = b.conv_id and b.d >= a.d),
+v as (select u.d, u.p, sum((x.n - 1) * x.w) as saved, count(*) filter (where x.n_children = 0) as n_leaves from u join x on x.d = u.d2 and x.p = u.p2 group by u.d, u.p)
+select x.conv_id, x.d::bigint as depth, y.conv_id as parent_conv_id, x.n as n_convs, x.n_children, v.n_leaves, v.saved::bigint as saved_tokens, sha256(coalesce(x.e, '')) as ends_sha256
+from x join v on v.d = x.d and v.p = x.p left join n y on y.d = x.d - 1 and y.p = x.up"""
+
+
+def _repair_sql() -> str:
+    return f"""
+with recursive a as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+  {_crc32_sql("(conv_id || ':' || coalesce(turn::varchar, ' '))")} % 20 as kind from conversations where conv_id is not null),
+b as (select conv_id, turn, case when kind = 4 then 'user' else role end as role,
+  case when kind = 1 then '' when kind = 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text, unnest(range(case when kind = 3 then 2 else 1 end)) from a where kind <> 0),
+o as (select conv_id, turn, role, text, row_number() over (partition by conv_id order by turn nulls first, role, text) as i, regexp_replace(text, '[\x20\x09-\x0D]+$', '') as tail from b),
+p as (select *, row_number() over (partition by conv_id, role, text order by i) > 1 as again, lag(role[1]) over (partition by conv_id order by i) || role[1] as pair from o),
+f as (select *, case when tail = '' then 'blank' when again then 'duplicate' when right(tail, 1) not in ('.', '!', '?') then 'truncated' end as fault from p),
+q(prev, nxt, ins, put) as (values ('', 's', '', []::varchar[]), ('', 'u', '', []), ('s', 'u', '', []), ('a', 'u', '', []), ('u', 'u', 'I', ['assistant:']),
+  ('', 'a', 'I', ['user:']), ('s', 'a', 'I', ['user:']), ('u', 'a', '', []), ('a', 'a', 'I', ['user:'])),
+r as (select distinct conv_id, 0::bigint as i, '' as st, 0 as cost, '' as audit, []::varchar[] as rep from conversations where conv_id is not null
+  union all
+  select conv_id, i, st, cost, audit, rep from (
+    select r.conv_id, f.i, r.st, r.cost + 3 as cost, r.audit || 'D' as audit, r.rep from r join f on f.conv_id = r.conv_id and f.i = r.i + 1
+    union all
+    select r.conv_id, f.i, q.nxt, r.cost + 2 * length(q.ins) + (case when f.role[1] = q.nxt then 0 else 2 end) + (case when f.fault = 'truncated' then 1 else 0 end),
+      r.audit || q.ins || (case when f.role[1] = q.nxt then 'K' else 'R' end),
+      r.rep || q.put || [(case when f.role[1] = q.nxt then f.role when q.nxt = 'u' then 'user' else 'assistant' end) || ':' || f.text]
+    from r join f on f.conv_id = r.conv_id and f.i = r.i + 1 join q on q.prev = r.st
+    where coalesce(f.fault, '') not in ('blank', 'duplicate') and (q.nxt <> 's' or f.role[1] = 's'))
+  qualify row_number() over (partition by conv_id, st order by cost, audit) = 1),
+g(st, more, put) as (values ('', '', []::varchar[]), ('a', '', []), ('u', 'I', ['assistant:']), ('s', 'II', ['user:', 'assistant:'])),
+z as (select conv_id, max(i) as n from r group by conv_id),
+e as (select r.conv_id, cost + 2 * length(more) as cost, audit || more as audit, rep || put as rep from r join z on z.conv_id = r.conv_id and z.n = r.i join g using (st)
+  qualify row_number() over (partition by r.conv_id order by cost + 2 * length(more), audit || more) = 1),
+h as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (where fault = 'blank') as blank, count(*) filter (where fault = 'duplicate') as duplicate,
+  count(*) filter (where fault = 'truncated') as truncated, count(*) filter (where i > 1 and coalesce(pair, '') not in ('su', 'ua', 'au')) as illegal from f group by conv_id)
+select e.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal,
+  cost::bigint as cost, audit, sha256(array_to_string(rep, chr(10))) as repaired_sha256 from e left join h using (conv_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
     hexed = "('0x' || substr(md5({}), 1, {}))::bigint"
     return {
@@ -184,4 +289,6 @@ x as (select page_id, translate(regexp_extract(rest, '(?s)^([^/?#]*)', 1), '{UPP
 b as (select x.*, r.h || r.p as rule, r.v, row_number() over (partition by page_id order by length(r.h || r.p) desc nulls last) as k
   from x left join r on (x.host = r.h or ends_with(x.host, '.' || r.h)) and starts_with(x.path, r.p))
 select page_id, host, path, rule, coalesce(v, 'allow') as verdict from b where k = 1""",
+        "op11_conversation_trie": _trie_sql(),
+        "op12_structure_repair": _repair_sql(),
     }
