@@ -15,7 +15,8 @@ left to right.  That equals merging one by one as long as no pair that stands be
 a lesser rank; else that round merges the leftmost alone.
 
 Encoding and decoding read nothing but their own row, so there is no shuffle, and a lost task costs its own rows.
-Nulls and empty texts have no ids; null ids have no bytes.  Texts of any length go through in slices that end before white
+Nulls and empty texts have no ids; null ids have no bytes.  Letters and numbers are those
+of Unicode 16.  Texts of any length go through in slices that end before white
 space, where every match ends.  Repeated rows are encoded alike.  An empty table gives an empty table.  All other columns
 stay; a column named as the output is replaced.
 """
@@ -39,6 +40,15 @@ LONG = 1 << 9
 CACHE = 1 << 18
 SLICE = 1 << 20
 
+#: Letters and numbers of Unicode versions after 16, which the classes of the library's patterns do not have.
+NEWER = (
+    "558 58B-58C 88F C5C CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959 10EC5-10EC7 "
+    "10ED9-10EEE 11B0A 11DB0-11DDB 11DE0-11DE9 11DF1 1246F 12475-1247F 12550-12686 16EA0-16EB8 16EBB-16ED3 16FF2-16FF3 "
+    "16FF4-16FF6 187F8-187FF 18CD6-18CDA 18D09-18D20 18D80-18DF2 18E00-19191 191A0-191D2 1B123-1B128 1B168 1D6A6 1DF1F-1DF24 "
+    "1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F "
+    "2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F "
+).split()
+
 
 def read_ranks(data: bytes) -> list[bytes]:
     """The tokens of a rank file (base64 token, rank; a line each), by rank."""
@@ -126,7 +136,12 @@ class Encoder:
         import regex
 
         self.tokens, self.ids = tokens, {t: i for i, t in enumerate(tokens)}
-        self.find_pieces = regex.compile(pattern).findall
+        newer = "[" + "".join("-".join(f"\\U{int(x, 16):08x}" for x in span.split("-")) for span in NEWER) + "]"
+        exact = pattern
+        for kind in (r"\p{L}", r"\p{N}"):
+            exact = exact.replace(kind, f"[{kind}--{newer}]")
+        self.newer, self.find_exact = regex.compile(newer).search, regex.compile("(?V1)" + exact).findall
+        self.find = regex.compile(pattern).findall
         self.cut = regex.compile(r"(?<=\S)\s")
         self.single = np.array([self.ids[bytes([b])] for b in range(256)], np.int32)
         self.pairs = PairTable(tokens)
@@ -137,6 +152,11 @@ class Encoder:
         self.known = 0
         self.pool, self.offsets = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
+    def _pieces(self, text: str) -> list[str]:
+        # the newer ones begin at U+0558, in UTF-8 with 0xD5
+        wide = not text.isascii() and np.frombuffer(text.encode(), np.uint8).max() >= 0xD5
+        return self.find_exact(text) if wide and self.newer(text) else self.find(text)
+
     def _slices(self, text: str) -> Iterator[str]:
         a = 0
         while len(text) - a > SLICE:
@@ -152,10 +172,10 @@ class Encoder:
         parts, lengths = [np.zeros(0, np.int32)], np.zeros(len(texts), np.int64)
         of, waiting, size = [], [], 0
         for i, text in enumerate(texts):
-            for piece_of in self._slices(text or ""):
+            for part in self._slices(text or ""):
                 of.append(i)
-                waiting.append(np.fromiter(map(self.numbers.__getitem__, self.find_pieces(piece_of)), np.int64))
-                size += len(piece_of)
+                waiting.append(np.fromiter(map(self.numbers.__getitem__, self._pieces(part)), np.int64))
+                size += len(part)
                 if size > SLICE:
                     parts.append(self._ids(of, waiting, lengths))
                     of, waiting, size = [], [], 0
