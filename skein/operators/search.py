@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import trigrams
+
 #: Words that name no code
 STOP_WORDS = (
     "this that with from have when then there these those should would could which where while about after before into also only some same "
@@ -54,14 +56,14 @@ def search(lines: DataFrame, queries: DataFrame, keys: list[str], query: str = "
     """(query, keys, line_no, line): lines that hold a query literally.
 
     An equi-join: a line and a query meet on the longest inner word of the query, which the line must hold whole; the text
-    confirms.  Queries without such a word (at most one word, so its ends may lie inside longer words) are the rare case
-    that must see every line; they are broadcast, so they should be few.
+    confirms.  Queries without such a word (at most one word, so its ends may lie inside longer words) are searched by the
+    trigrams of lines, and only those of fewer than three bytes see every line.
     """
     inner = F.regexp_extract_all(query, F.lit(r"(?<=[^A-Za-z0-9_])[A-Za-z0-9_]+(?=[^A-Za-z0-9_])"), F.lit(0))
     asked = queries.select(query).distinct().withColumn("_w", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])
     index = token_index(lines, keys).withColumnRenamed("token", "_w")
     exact = index.join(asked.where("_w is not null"), "_w").join(lines, [*keys, "line_no"]).where(F.contains("line", F.col(query)))
-    loose = lines.join(F.broadcast(asked.where("_w is null")), F.contains("line", F.col(query)))
+    loose = trigrams.matching(lines, asked.where("_w is null"), [*keys, "line_no"], "line", query).withColumnRenamed("query", query)
     columns = [query, *keys, "line_no", "line"]
     return exact.select(columns).unionByName(loose.select(columns))
 

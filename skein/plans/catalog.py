@@ -390,4 +390,4 @@ def patch_round_trip(t):
     return out
 
 
-from . import records  # noqa: E402, F401  registers its queries
+from . import records, searching  # noqa: E402, F401  register their queries
