@@ -34,11 +34,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 NONE = np.int32(2**31 - 1)
-#: cells of a matrix, bytes above which a piece is a row of its own, distinct pieces known at a time, characters of a slice
-CELLS = 1 << 20
+#: cells of a matrix, bytes above which a piece is a row of its own, distinct pieces known at a time, characters of a slice,
+#: texts that a task has as Python strings at a time
+CELLS = 1 << 18
 LONG = 1 << 9
-CACHE = 1 << 18
-SLICE = 1 << 20
+CACHE = 1 << 17
+SLICE = 1 << 18
+ROWS = 1 << 9
 
 #: Letters and numbers of Unicode versions after 16, which the classes of the library's patterns do not have.
 NEWER = (
@@ -322,7 +324,9 @@ def encode(df: DataFrame, ranks: bytes, pattern: str, text_col: str = "text", id
 
     def values(b):
         column = b.column(at)
-        ids, lengths = _encoder(ranks, pattern).encode(column.to_pylist())
+        encoder = _encoder(ranks, pattern)
+        parts = [encoder.encode(column.slice(i, ROWS).to_pylist()) for i in range(0, len(column), ROWS)]
+        ids, lengths = (np.concatenate([np.zeros(0, kind), *[p[k] for p in parts]]) for k, kind in ((0, np.int32), (1, np.int64)))
         return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(ids))
 
     return _with_column(df, ids_col, T.ArrayType(T.IntegerType()), values)
