@@ -5,7 +5,7 @@ rule has, so a row's expressions stay as many as the rules have such pairs, howe
 the rules in an equi-join on the first four bytes of their SHA-256 alone; of the rules met, those whose full digest is the
 expression's are confirmed, and the longest of them wins (ties: block before allow, then the rule's text).
 Nulls: a null url, or one without "://", has an empty host and path and meets no rule.  A null host or verdict in the
-rules drops that rule; a null path means "/", an empty one every path.  Repeated rows come back as often as they were.  Other columns of the
+rules drops that rule; a null path means "/", an empty one every path; one that does not begin with "/" fits no URL.  Repeated rows come back as often as they were.  Other columns of the
 input are not returned; join on id and url for them.  Empty tables give empty results; without rules all is `default`.
 """
 
@@ -25,6 +25,10 @@ def split_url(url):
     return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), path
 
 
+#: stands between host and path in an expression; neither a URL's host nor its path can hold it
+BETWEEN = "?"
+
+
 def _digest(text):
     return F.unhex(F.sha2(text, 256))
 
@@ -49,7 +53,7 @@ def url_verdicts(
     spark = pages.sparkSession
     rules = rules.select(F.lower("host").alias("r_host"), F.coalesce("path", F.lit("/")).alias("r_path"), F.col("verdict").alias("r_verdict"))
     rules = rules.where("r_host is not null and r_verdict is not null").distinct()
-    rules = rules.withColumn("r_rule", F.concat("r_host", "r_path")).withColumn("r_digest", _digest(F.col("r_rule")))
+    rules = rules.withColumn("r_rule", F.concat("r_host", "r_path")).withColumn("r_digest", _digest(F.concat("r_host", F.lit(BETWEEN), "r_path")))
     rules = rules.withColumn("r_short", _short(F.col("r_digest")))
     # the distinct shapes of rules, (labels of the host, length of the path): a few small numbers
     labels = lambda host: F.size(F.split(host, r"\."))
@@ -57,7 +61,7 @@ def url_verdicts(
 
     host, path = split_url(F.col(url_col))
     urls = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), host.alias("host"), path.alias("path"))
-    expression = lambda n, k: F.concat(F.substring_index("host", ".", -n), F.left("path", F.lit(k)))
+    expression = lambda n, k: F.concat(F.substring_index("host", ".", -n), F.lit(BETWEEN), F.left("path", F.lit(k)))
     expressions = [F.when((labels(F.col("host")) >= n) & (F.length("path") >= k), expression(n, k)) for n, k in shapes]
     # the first, null, keeps the row and counts it once
     expanded = urls.withColumn("_e", F.explode(F.concat(F.array(F.lit(None).cast("string")), F.array_compact(F.array(*expressions).cast("array<string>")))))

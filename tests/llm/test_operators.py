@@ -397,3 +397,8 @@ def test_url_filters(spark):
     hosts = [(1, None), (2, "http://a.org"), (3, "http://" + "x." * 3000 + "org/q"), (None, "http://a.com/")]
     got = urlfilter.url_verdicts(spark.createDataFrame(hosts, "page_id long, url string"), any_path).collect()
     assert sorted((str(r.page_id), r.rule, r.verdict) for r in got if r.page_id != 1) == [("2", "org", "block"), ("3", "org", "block"), ("None", None, "allow")] and len(got) == 4
+    # a rule's host ends where the URL's does, and a rule path that does not begin with / fits nothing
+    cut = spark.createDataFrame([("co", "m/", "block"), ("x", "/", "block"), ("com", "a", "block")], "host string, path string, verdict string")
+    urls = [(1, "http://com/x"), (2, "http://a.com/a"), (3, "http://b.x/"), (4, "http://co/m/")]
+    got = urlfilter.url_verdicts(spark.createDataFrame(urls, "page_id long, url string"), cut).collect()
+    assert sorted((r.page_id, r.rule, r.verdict) for r in got) == [(1, None, "allow"), (2, None, "allow"), (3, "x/", "block"), (4, None, "allow")]
