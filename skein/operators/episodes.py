@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.guards import ENVIRONMENT, OUT_OF_MEMORY, any_of
 from ..functions.stats import mcnemar_log10, wilson
+from ..functions.toolcalls import canonical
 
 
 def _rates(resolved: Column) -> list[Column]:
@@ -94,7 +95,7 @@ def behaviour(calls: DataFrame, episode: list[str], order: list[str], name: str,
     Calls are rows; a call's signature is its name and canonical arguments.  Episodes without a call have no row and are
     not counted.
     """
-    sig = F.concat_ws("\u0001", F.col(name), F.col(arguments))
+    sig = F.concat_ws("\u0001", F.col(name), canonical(F.col(arguments)))
     rows = calls.select(*episode, *order, F.col(name).alias("_name"), F.col(arguments).alias("_args"), sig.alias("_sig"), (F.size(ids) if ids else F.lit(None).cast("int")).alias("_ids"))
     runs = longest_runs(rows, episode, order, "_sig")
     arg = lambda k: F.coalesce(F.get_json_object("_args", f"$.{k}"), F.lit("0"))
@@ -124,6 +125,27 @@ def paired_arms(treatment: DataFrame, baseline: DataFrame, key: str, order: str,
     return paired(last(treatment, "_t").join(last(baseline, "_b"), key), F.col("_t"), F.col("_b"))
 
 
+def arm_behaviour(joined: DataFrame, counts: DataFrame) -> DataFrame:
+    """behaviour() of an arm whose results and trajectories are two files joined by position (sources.lines.zipped).
+
+    A trajectory is a struct with tool_calls (name, arguments); null ones, and those without calls, are no episodes.  The
+    counts of both files, and of the lines that were left over, stand beside.
+    """
+    calls = joined.select("position", F.posexplode(F.col("right.tool_calls")).alias("call", "c")).select("position", "call", "c.name", "c.arguments")
+    return behaviour(calls, ["position"], ["call"], "name", "arguments").join(counts)  # one row each
+
+
+def evaluation_summary(records: DataFrame) -> DataFrame:
+    """One row over evaluation records (resolved, status, patch_valid, steps): counts, rates with their interval, and the mean
+    of steps over submitted records that have any (null if none do).  Without records counts and rates are 0."""
+    ok, submitted = F.coalesce(F.col("resolved"), F.lit(False)), F.coalesce(F.col("status") == "submitted", F.lit(False))
+    valid = F.count_if(F.coalesce(F.col("patch_valid"), F.lit(False))) / F.nullif(F.count("*"), F.lit(0))
+    steps = F.round(F.avg(F.when(submitted, F.col("steps"))), 6)
+    return records.agg(
+        *_rates(ok), F.count_if(submitted).alias("submitted"), F.round(F.coalesce(valid, F.lit(0.0)), 6).alias("valid_rate"), steps.alias("mean_steps")
+    )
+
+
 def supervision(messages: DataFrame, key: str, pos: str, role: str, name: str, text: str) -> DataFrame:
     """One row: trajectories, those with a tool error, and those that submit right after a passing test run.
 

@@ -155,7 +155,18 @@ def step_samples(prompt, completion, max_len: int) -> Column:
     return F.pandas_udf(lambda p, c: pd.DataFrame([one(x, y) for x, y in zip(p, c)], columns=["input_ids", "labels"]), kind)(prompt, completion)
 
 
-def usable(messages: Column, max_chars: int = 0, min_messages: int = 2) -> Column:
-    """Transcripts of enough messages and, with max_chars, few enough characters."""
-    chars = F.aggregate(messages, F.lit(0), lambda n, m: n + F.length(F.coalesce(m["content"], F.lit(""))))
+def usable(messages: Column, max_chars: int = 0, min_messages: int = 2, with_calls: bool = False) -> Column:
+    """Transcripts of enough messages and, with max_chars, few enough characters.
+
+    with_calls: messages have tool_calls, whose arguments count as characters.
+    """
+
+    def size(m: Column) -> Column:
+        own = F.length(F.coalesce(m["content"], F.lit("")))
+        if not with_calls:
+            return own
+        calls = F.filter(F.coalesce(m["tool_calls"]["function"]["arguments"], F.array().cast("array<string>")), lambda a: a.isNotNull())
+        return own + F.aggregate(calls, F.lit(0), lambda n, a: n + F.length(a))
+
+    chars = F.aggregate(messages, F.lit(0), lambda n, m: n + size(m))
     return (F.size(messages) >= min_messages) & ((chars <= max_chars) if max_chars else F.lit(True))

@@ -8,8 +8,12 @@ from pyspark.sql import functions as F
 from ..functions.stats import exclusive_decile
 
 
-def sizes(df: DataFrame, key: str, text: Column) -> DataFrame:
-    return df.groupBy(key).agg(F.sum(F.length(F.coalesce(text, F.lit("")))).alias("size"))
+def sizes(df: DataFrame, key: str, text: Column, arguments: Column | None = None) -> DataFrame:
+    """Characters of each conversation: texts, and the arguments (array<string>) of the calls that a row makes."""
+    size = F.length(F.coalesce(text, F.lit("")))
+    if arguments is not None:
+        size = size + F.aggregate(F.coalesce(arguments, F.array().cast("array<string>")), F.lit(0), lambda n, a: n + F.length(F.coalesce(a, F.lit(""))))
+    return df.groupBy(key).agg(F.sum(size).alias("size"))
 
 
 def size_quantiles(df: DataFrame, size: str) -> DataFrame:

@@ -390,4 +390,4 @@ def patch_round_trip(t):
     return out
 
 
-from . import records, searching  # noqa: E402, F401  register their queries
+from . import files, records, searching  # noqa: E402, F401  register their queries

@@ -360,19 +360,6 @@ def update_metrics(t):
     return ledger.update_metrics(rows, "user_id", "value", "ok")
 
 
-@query(
-    """with s as (select user_id, event_type as e, row_number() over (partition by user_id order by ts, event_id) as k from events),
-e as (select user_id, min(k) filter (where e in ('purchase', 'error')) as k from s group by user_id)
-select user_id, least(coalesce(e.k, 999999), 6)::int as steps, case when e.k is null or e.k > 6 then 'budget_exhausted' else (select case s.e when 'error' then 'error' else 'submitted' end from s where s.user_id = e.user_id and s.k = e.k) end as status
-from e join (select user_id, count(*) as n from s group by 1) using (user_id) where n >= 6"""
-)
-def episode_loop(t):
-    kind = F.when(F.col("event_type") == "purchase", "submit").when(F.col("event_type") == "error", "error").otherwise("step")
-    rows = t("events").select("user_id", F.struct("ts", "event_id").alias("at"), kind.alias("kind"))
-    long = rows.groupBy("user_id").agg(F.count("*").alias("_n")).where("_n >= 6").select("user_id")
-    return ledger.episodes(rows.join(long, "user_id"), "user_id", "at", "kind", 6).select("user_id", "steps", "status")
-
-
 # ---------------------------------------------------------------- verification
 
 
@@ -607,15 +594,6 @@ def arm_report(t):
     return episodes.summary(episodes.arm(t("labels"), ids, "doc_id"), F.col("quality") == 1)
 
 
-@query("select conv_id, turn, text is not null as has_text from conversations where turn < 3")
-def positional_join(t):
-    k = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
-    results = t("conversations").select("conv_id", "turn", k.alias("line_no")).where("turn < 3")
-    texts = t("conversations").select(F.col("conv_id").alias("c2"), "text", k.alias("l2"))
-    joined = results.join(texts, (F.col("conv_id") == F.col("c2")) & (F.col("line_no") == F.col("l2")))
-    return joined.select("conv_id", "turn", F.col("text").isNotNull().alias("has_text"))
-
-
 @query("select doc_id, source from documents where doc_id in (select doc_id from labels)")
 def wanted_rows(t):
     return t("documents").select("doc_id", "source").join(t("labels").select("doc_id"), "doc_id", "left_semi")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from . import lines
+
 
 def exists(spark: SparkSession, path: str) -> bool:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -22,19 +23,10 @@ def read_jsonl(spark: SparkSession, path: str, schema: StructType | str, missing
 def read_numbered(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows with their file and line_no, counted over all lines of a file in order; blank lines are skipped.
 
-    Files are read whole, one a task, by mapInArrow; use it where positions matter, read_jsonl elsewhere.
+    A file is read by as many tasks as it has splits.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
-
-    def number(batches):
-        for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                lines = content.as_py().decode("utf-8", "replace").split("\n")
-                rows = [(k, x.strip()) for k, x in enumerate(lines, 1) if x.strip()]
-                yield pa.RecordBatch.from_pydict({"path": pa.array([name] * len(rows), pa.string()), "line_no": pa.array([r[0] for r in rows], pa.int64()), "value": pa.array([r[1] for r in rows], pa.string())})
-
-    table = files.mapInArrow(number, "path string, line_no long, value string")
-    return table.select("path", "line_no", F.from_json("value", schema).alias("r")).select("path", "line_no", "r.*")
+    table = lines.lines(spark, path).where(F.col("value").rlike(r"\S"))
+    return table.select(F.col("file").alias("path"), "line_no", F.from_json(F.trim("value"), schema).alias("r")).select("path", "line_no", "r.*")
 
 
 def read_strict(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:

@@ -62,25 +62,3 @@ def update_metrics(rollouts: DataFrame, update: str, reward: str, resolved: str)
         F.count("*").alias("n"), F.round(F.avg(reward), 6).alias("mean_reward"), F.max(reward).alias("best_reward"),
         F.round(F.count_if(resolved) / F.greatest(F.lit(1), F.count("*")), 6).alias("rate"),
     )
-
-
-def episodes(steps: DataFrame, key: str, order: str, kind: str, max_steps: int, max_malformed: int = 2) -> DataFrame:
-    """Per episode its steps, malformed steps and end: submitted, error or budget_exhausted.
-
-    Steps are folded in order until one submits, one fails, more than max_malformed in a row do not parse, or max_steps are
-    used; a malformed step costs a step.
-    """
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct(order, kind))), lambda s: s[kind])
-    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("bad"), F.lit(0).alias("row"), F.lit(None).cast("string").alias("end"))
-
-    def step(a, x):
-        bad = x == "malformed"
-        row = F.when(bad, a["row"] + 1).otherwise(0)
-        end = (
-            F.when(x == "submit", "submitted").when((x == "error") | (row > max_malformed), "error").when(a["n"] + 1 >= max_steps, "budget_exhausted")
-        )
-        new = F.struct((a["n"] + 1).alias("n"), (a["bad"] + bad.cast("int")).alias("bad"), row.alias("row"), end.alias("end"))
-        return F.when(a["end"].isNotNull(), a).otherwise(new)
-
-    folded = steps.groupBy(key).agg(F.aggregate(ordered, start, step).alias("e"))
-    return folded.select(key, F.col("e.n").alias("steps"), F.col("e.bad").alias("malformed"), F.coalesce("e.end", F.lit("budget_exhausted")).alias("status"))

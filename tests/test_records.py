@@ -250,12 +250,6 @@ def test_gate_stream(spark, tmp_path):
     assert (last["a"].best, last["a"].best_index, last["a"].stop, last["a"].n) == (3.0, 1, True, 5) and "b" not in last
 
 
-def test_episodes_end(spark):
-    rows = [("a", 1, "step"), ("a", 2, "submit"), ("a", 3, "step"), ("b", 1, "malformed"), ("b", 2, "malformed"), ("b", 3, "malformed"), ("c", 1, "malformed"), ("c", 2, "step"), ("c", 3, "step"), ("d", 1, "error")]
-    got = {r.k: (r.steps, r.malformed, r.status) for r in ledger.episodes(spark.createDataFrame(rows, "k string, i int, kind string"), "k", "i", "kind", 3).collect()}
-    assert got == {"a": (2, 0, "submitted"), "b": (3, 3, "error"), "c": (3, 1, "budget_exhausted"), "d": (1, 0, "error")}
-
-
 def test_code_signatures(spark):
     same = [("x = 1  # a\n", "x  =  1\n\n"), ("def f():\n    return 1\n", "def f():\n  # c\n  return 1\n"), ("((", "((  \n# x")]
     assert all(runs.code_signature(a) == runs.code_signature(b) for a, b in same) and runs.code_signature("x = 1") != runs.code_signature("x = 2")
