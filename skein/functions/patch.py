@@ -27,27 +27,22 @@ def sections(diff: str) -> dict[str, str]:
 
 def hunks(section: str) -> list[tuple[int, list[tuple[str, str]]]]:
     """(source start, [(tag, text)]) of each hunk; ValueError on a malformed one."""
-    out, lines, i = [], section.replace("\r\n", "\n").split("\n"), 0
-    while i < len(lines):
-        head = HUNK.match(lines[i])
-        i += 1
-        if not head:
-            continue
-        old, new = (1 if g is None else int(g) for g in (head[2], head[4]))
-        body: list[tuple[str, str]] = []
-        while old or new:  # a body that overshoots a count never ends
-            if i == len(lines):
-                raise ValueError("truncated hunk")
-            line, i = lines[i], i + 1
-            if line.startswith("\\"):
-                continue
-            tag, text = (line[0], line[1:]) if line else (" ", "")
+    out: list[tuple[int, list[tuple[str, str]]]] = []
+    left = {"-": 0, "+": 0}  # lines that the open hunk still lacks on either side; one that is overshot never ends
+    for line in section.replace("\r\n", "\n").split("\n"):
+        if not any(left.values()):
+            if head := HUNK.match(line):
+                out.append((int(head[1]), []))
+                left = {side: 1 if n is None else int(n) for side, n in (("-", head[2]), ("+", head[4]))}
+        elif not line.startswith("\\"):
+            tag, text = line[:1] or " ", line[1:]
             if tag not in " +-":
                 raise ValueError("malformed hunk line")
-            old -= tag != "+"
-            new -= tag != "-"
-            body.append((tag, text))
-        out.append((int(head[1]), body))
+            for side in left if tag == " " else tag:
+                left[side] -= 1
+            out[-1][1].append((tag, text))
+    if any(left.values()):
+        raise ValueError("truncated hunk")
     if not out:
         raise ValueError("no hunks")
     return out
@@ -82,13 +77,6 @@ def targets(diff: str) -> list[str]:
     return list(dict.fromkeys(m[1] for m in found if m and m[1] != "/dev/null"))
 
 
-def stale(section: str) -> str | None:
-    """A section whose first line of context or removal cannot match any more; None without such a line."""
-    lines = section.split("\n")
-    at = next((i for i, x in enumerate(lines) if len(x) > 1 and x[0] in " -" and not x.startswith(("--- ", "-- "))), None)
-    return None if at is None else "\n".join([*lines[:at], lines[at] + "  # stale", *lines[at + 1 :]])
-
-
 def _sections(diff: pd.Series) -> pd.Series:
     return diff.map(lambda d: [{"path": p, "body": b} for p, b in sections(d or "").items()])
 

@@ -559,20 +559,35 @@ def clean_hosts(t):
     return t("pages").select("page_id", text.clean_observation(noise, "/workspace", r"Desktop\\p\\replay").alias("clean"))
 
 
-@query()
+COMPACTED = """with d as (select doc_id, string_split(text, chr(10)) as l, len(string_split(text, chr(10))) as n from documents),
+m as (select *, n // 2 + 1 as mid, ('0x' || substr(sha256('0:' || doc_id), 1, 8))::bigint / 4294967296.0::double < 0.5 as drawn from d),
+s as (select *, greatest(1, mid - 40) as a, least(n, mid + 40) as b from m),
+w as (select *, not (a = 1 and b = n) as cut, l[mid] as old from s)
+select doc_id, case when cut then a end::int as first, case when cut then b end::int as last,
+  md5(case when cut then array_to_string(list_transform(range(a, b + 1), lambda i: lpad(i::varchar, length(b::varchar)::int, ' ') || ': ' || l[i]), chr(10))
+    else array_to_string(list_transform(range(1, n + 1), lambda i: i || ': ' || l[i]), chr(10)) end) as shown,
+  drawn and old <> '' as recovered, (case when drawn and old <> '' then 7 else 5 end)::int as n_messages from w"""
+
+
+@query(COMPACTED)
 def compacted_transcripts(t):
     """Transcripts of a read, an edit of the line in the middle and a submit, made of documents' lines, compacted."""
-    lines = F.split("text", "\n")
-    rows = t("documents").where(F.size(lines) >= 3).select("doc_id", lines.alias("l"))
+    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    rows = t("documents").select("doc_id", lines.alias("l"))
     numbered = F.array_join(F.transform("l", lambda x, i: F.concat((i + 1).cast("string"), F.lit(": "), x)), "\n")
     mid = F.floor(F.size("l") / 2).cast("int")
     diff = F.concat(F.lit("--- a/m\n+++ b/m\n@@ -"), (mid + 1).cast("string"), F.lit(" +"), (mid + 1).cast("string"), F.lit(" @@\n-"), F.get("l", mid), F.lit("\n+new"))
     call = lambda name, arguments: F.struct(F.lit("assistant").alias("role"), F.lit(None).cast("string").alias("content"), F.array(F.struct(F.lit("c").alias("id"), F.struct(F.lit(name).alias("name"), arguments.alias("arguments")).alias("function"))).alias("tool_calls"))
     tool = lambda content: F.struct(F.lit("tool").alias("role"), content.alias("content"), F.array().cast("array<struct<id:string,function:struct<name:string,arguments:string>>>").alias("tool_calls"))
     args = lambda **k: F.to_json(F.struct(*[v.alias(n) for n, v in k.items()]))
-    messages = F.to_json(F.array(call("read_file", args(path=F.lit("m"))), tool(numbered), call("edit_file", args(path=F.lit("m"), diff=diff)), tool(F.lit("ok")), call("submit", args(note=F.lit("x")))))
-    out = rows.withColumn("c", compaction.compact("doc_id", messages, 0.5))
-    return out.select("doc_id", F.length("c.messages").alias("n_chars"), "c.recovered", F.md5("c.messages").alias("digest"))
+    messages = F.array(call("read_file", args(path=F.lit("m"))), tool(numbered), call("edit_file", args(path=F.lit("m"), diff=diff)), tool(F.lit("ok")), call("submit", args(note=F.lit("x"))))
+    out = compaction.compact(rows.select("doc_id", messages.alias("messages")), "doc_id", recovery_rate=0.5)
+    read = F.get("messages", F.lit(0))["tool_calls"][0]["function"]["arguments"]
+    number = lambda k: F.get_json_object(read, f"$.{k}").cast("int")
+    return out.select(
+        "doc_id", number("start_line").alias("first"), number("end_line").alias("last"), F.md5(F.get("messages", F.lit(1))["content"]).alias("shown"),
+        F.col("meta.recovery_example").alias("recovered"), F.size("messages").alias("n_messages"),
+    )
 
 
 # ---------------------------------------------------------------- reports and joins

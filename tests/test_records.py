@@ -27,14 +27,14 @@ def one(spark, column):
         ("call:one{a:1} call:two{b:2}", "one", {"a": 1}, ""),
     ],
 )
-def test_native_calls(raw, name, args, reasoning):
-    got = toolcalls.native_call(raw)
-    assert (got[0], got[1]) == (name, args) and got[2] == reasoning
+def test_native_calls(spark, raw, name, args, reasoning):
+    got = one(spark, toolcalls.parse_call(F.lit(raw)))
+    assert (got.name, json.loads(got.arguments), got.reasoning, got.form, got.error) == (name, args, reasoning, "native", None)
 
 
 def test_json_calls_and_garbage(spark):
     assert toolcalls.any_call('ok ```json\n{"name": "a", "params": {"z": 1, "b": [true]}}\n``` {"tool": "c", "arguments": {}}')[:2] == ("a", '{"b": [true], "z": 1}')
-    assert toolcalls.any_call('x {broken {"function": {"name": "g", "arguments": "{\\"p\\": 2}"}}')[:4] == ("g", '{"p": 2}', "x {broken", "json")
+    assert toolcalls.any_call('x {broken {"function": {"name": "g", "arguments": "{\\"p\\": 2}"}}')[:4] == ("g", '{"p": 2}', "x {broken ", "json")
     assert toolcalls.any_call('{"name": "n", "arguments": "no json"} {"name": "m", "arguments": {}}')[0] == "m"
     for bad in ("nothing", None, "", "{}", '{"name": "x"}', "[1, 2]"):
         assert toolcalls.any_call(bad)[0] is None and toolcalls.any_call(bad)[4]
@@ -51,7 +51,7 @@ def test_rendering_is_read_back():
 
     for _ in range(300):
         args = {f"a{i}": value(2) for i in range(rnd.randrange(4))}
-        assert toolcalls.native_call("r " + toolcalls.render_call("tool", args)) == ("tool", args, "r")
+        assert toolcalls.native_call("r " + toolcalls.render_call("tool", args)) == ("tool", args, "r ")
 
 
 def test_schema_errors():
@@ -102,7 +102,6 @@ def test_patches():
         patch.hunks("@@ -1,1 +1,3 @@\n-a\n-b\n+c\n+d\n+e")  # overshoots its source count
     assert patch.apply("a\r\nb\r\n", "@@ -1 +1 @@\r\n-a\r\n+c\r\n") == "c\nb\n"
     assert patch.targets("+++ b/x\n+++ /dev/null\n+++ a/y\n+++ b/x") == ["x", "y"]
-    assert patch.stale("--- a\n+++ b\n@@ @@\n x\n-y") == "--- a\n+++ b\n@@ @@\n x  # stale\n-y" and patch.stale("+a\n ") is None
 
 
 def test_gate(spark):
@@ -152,19 +151,77 @@ def trajectory():
     return [say("system", "s"), say("user", "u"), call("read_file", path="m.py"), say("tool", lines), call("edit_file", path="m.py", diff=diff), say("tool", "ok"), call("submit", note="x"), say("tool", "done")]
 
 
+MESSAGES = "array<struct<role: string, content: string, tool_calls: array<struct<id: string, function: struct<name: string, arguments: string>>>, is_error: boolean>>"
+
+
+def compacted(spark, *messages, **options):
+    df = spark.createDataFrame([(i, json.dumps(m), (3,)) for i, m in enumerate(messages)], "k long, m string, meta struct<steps: int>")
+    df = df.select("k", F.from_json("m", MESSAGES).alias("messages"), "meta")
+    return compaction.compact(df, "k", **options).orderBy("k").collect()
+
+
+def asked(message):
+    return message["tool_calls"][0]["function"]["name"], json.loads(message["tool_calls"][0]["function"]["arguments"])
+
+
+def listing(*numbers):
+    return "\n".join(f"{n}: line {n}" for n in numbers)
+
+
 def test_compaction(spark):
-    out, done = compaction.compacted(trajectory())
-    assert compaction.call_of(out[2]) == ("read_file", {"path": "m.py", "start_line": 110, "end_line": 192}) and not done
+    (row,) = compacted(spark, trajectory())
+    out = row.messages
+    assert asked(out[2]) == ("read_file", {"path": "m.py", "start_line": 110, "end_line": 192}) and row.meta.asDict() == {"steps": 3, "compacted": True, "recovery_example": False}
     seen = out[3]["content"].split("\n")
-    assert seen[0] == "110: line 110" and seen[-1] == "192: line 192" and compaction.call_of(out[6]) == ("submit", {})
-    out, done = compaction.compacted(trajectory(), recover=True)
-    bad = [m for m in out if m.get("train") is False]
-    assert done and len(bad) == 1 and "# stale" in compaction.call_of(bad[0])[1]["diff"]
-    errors = [m for m in out if m["role"] == "tool" and m["content"].startswith("error:")]
-    assert len(errors) == 1 and len([m for m in out if (compaction.call_of(m) or ("",))[0] == "edit_file"]) == 2
-    assert compaction.capped_results("\n".join(map(str, range(30))) + "\n... results truncated").split("\n") == [*map(str, range(25)), "... results truncated"]
-    df = spark.createDataFrame([(k, json.dumps(trajectory())) for k in range(40)], "k long, m string").select(compaction.compact("k", "m", 0.5).alias("c"))
-    assert 5 < df.where("c.recovered").count() < 35
+    assert seen[0] == "110: line 110" and seen[-1] == "192: line 192" and len(seen) == 83 and asked(out[6]) == ("submit", {})
+    assert [m.content for m in out[:2]] == ["s", "u"] and asked(out[4]) == ("edit_file", json.loads(trajectory()[4]["tool_calls"][0]["function"]["arguments"]))
+    (row,) = compacted(spark, trajectory(), recovery_rate=1.0)
+    out = row.messages
+    bad = [m for m in out if m.train is False]
+    assert row.meta.recovery_example and len(bad) == 1 and " line 150  # stale\n" in asked(bad[0])[1]["diff"] and bad[0].tool_calls[0].id == "call_bad"
+    errors = [m for m in out if m.role == "tool" and m.content.startswith("error:")]
+    assert len(errors) == 1 and errors[0].is_error and errors[0].tool_call_id == "call_bad" and errors[0].name == "edit_file"
+    assert [asked(m)[0] for m in out if m.tool_calls] == ["read_file", "edit_file", "edit_file", "submit"] and out[6].content == out[6].content and asked(out[6]) == asked(compacted(spark, trajectory())[0].messages[4])
+    rows = compacted(spark, *[trajectory()] * 40, recovery_rate=0.5)
+    assert 5 < sum(r.meta.recovery_example for r in rows) < 35
+
+
+def test_what_compaction_leaves(spark):
+    edit = trajectory()[4]
+    far = call("edit_file", path="m.py", diff="@@ -900,2 +900 @@\n-a")
+    cases = {
+        "unrelated": [call("read_file", path="o.py"), say("tool", listing(*range(1, 200))), edit, say("tool", "ok")],
+        "short": [call("read_file", path="o.py"), say("tool", listing(1, 2, 3))],
+        "gap": [call("read_file", path="o.py"), say("tool", listing(*range(1, 50), *range(60, 200)))],
+        "failed": [call("read_file", path="o.py"), say("tool", listing(*range(1, 200))) | {"is_error": True}],
+        "no answer": [call("read_file", path="o.py"), say("user", listing(*range(1, 200))), call("submit", note="x")],
+        "beyond": [call("read_file", path="m.py"), say("tool", listing(*range(1, 200))), far, say("tool", "ok")],
+        "twice": [call("read_file", path="o.py"), say("tool", listing(*range(1, 130)) + "\n7: other\nno number")],
+        "searches": [call("search_repo", query="q"), say("tool", "\n".join(map(str, range(30))) + "\n... results truncated"), call("search_repo", query="q"), say("tool", "a\nb")],
+        "tests": [call("run_tests"), say("tool", "head\n\n" + "x" * 2000 + "y" * 2000), call("run_tests"), say("tool", "x" * 4000)],
+        "wide": [call("read_file", path="m.py"), say("tool", listing(*range(1, 700))), call("edit_file", path="m.py", diff="@@ -100 +1 @@\n@@ -600,5 +1 @@"), say("tool", "ok")],
+        "none": [say("user", "u"), say("assistant", None)],
+        "empty": [],
+    }
+    got = dict(zip(cases, compacted(spark, *cases.values(), recovery_rate=1.0)))
+    assert [k for k, r in got.items() if r.meta.recovery_example] == ["beyond"]
+    text = {k: [m.content for m in r.messages] for k, r in got.items()}
+    assert asked(got["unrelated"].messages[0])[1] == {"path": "o.py", "start_line": 1, "end_line": 120} and text["unrelated"][1].split("\n")[0] == "  1: line 1"
+    for k in ("short", "gap", "failed", "no answer", "none", "empty"):
+        assert text[k] == [m["content"] for m in cases[k]], k
+    assert asked(got["no answer"].messages[2]) == ("submit", {"note": "x"})
+    assert asked(got["beyond"].messages[0])[1] == {"path": "m.py", "start_line": 860, "end_line": 199} and text["beyond"][1] == ""
+    assert text["twice"][1].split("\n")[6] == "  7: other" and len(text["twice"][1].split("\n")) == 120
+    assert text["searches"][1].split("\n") == [*map(str, range(25)), "... results truncated"] and text["searches"][3] == "a\nb"
+    assert text["tests"][1] == "head\n\n" + "x" * 1500 + "\n... output truncated ...\n" + "y" * 1500 and text["tests"][3] == "x" * 4000
+    assert asked(got["wide"].messages[0])[1] == {"path": "m.py", "start_line": 60, "end_line": 459}
+
+
+def test_spoilt_diffs(spark):
+    assert one(spark, compaction.stale(F.lit("--- a\n+++ b\n@@ @@\n x\n-y"))) == "--- a\n+++ b\n@@ @@\n x  # stale\n-y" and one(spark, compaction.stale(F.lit("+a\n "))) is None
+
+
+def test_reading_lines(spark):
     read = lambda t, a=None, b=None: one(spark, compaction.read_lines(F.lit(t), F.lit(a).cast("int"), F.lit(b).cast("int"), F.lit("p")))
     assert read("a\nb\n") == "1: a\n2: b" and read("a\nb\nc", 2) == "2: b\n3: c" and read("a", 3, 9) == "error: no lines in range 3-9 for p"
     assert read("a", 0, 1).startswith("error: start_line") and read("a", 2, 1).startswith("error: end_line") and read("") == "error: end_line must be >= start_line"
