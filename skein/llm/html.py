@@ -4,10 +4,12 @@ Pages are sorted by host, URL path, id and lines.  A page's nearest neighbours a
 after it on its host whose lines (blocks of text) differ from its own; its lines are aligned with theirs by longest common
 subsequence, and lines on a common subsequence are template lines and go.
 
-Differencing alone cannot give right results: articles of a host quote the same passages, and many hosts have one page.
-So the page's own marks come after it.  They veto: a shared line inside an article or main element stays.  And they settle
-what alignment left: an unshared line goes if it is in an element that is navigation, header, footer, sidebar, notice,
-advert, form or comments by its tag, role, class or id, or if it is outside the main element of a page that has one.
+Differencing alone cannot give right results: articles of a host quote the same passages, pages are copies of each other but
+for a line, and many hosts have one page.  So a narrow veto and the page's own marks come after it.  A shared line inside an
+article or main element goes like any other unless it reads as text (BODY_WORDS words or more, or the end of a sentence), is
+a heading, or more than COPIED of the element's words are in shared lines, which makes the page a copy; n_vetoed counts the
+lines that stay so.  And marks settle what alignment left: an unshared line goes if it is in an element that is navigation, header, footer, sidebar,
+notice, advert, form or comments by its tag, role, class or id, or if it is outside the main element of a page that has one.
 n_shared, n_vetoed and n_marked count the lines of each kind.
 
 A range of the sort order is one task's work, split by rows and never by host.  A first pass finds, for every range, the
@@ -38,6 +40,10 @@ from .urlfilter import split_url
 
 #: an alignment table of more bits is cut in two
 TABLE_BITS = 1 << 28
+#: a line of so many words is text and no label; a page is a copy if more than this share of its main words is shared
+BODY_WORDS, COPIED = 12, 0.8
+SENTENCE = re.compile(r"""[.!?…。！？؟।]["'”’»)\]]*\Z""")
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 #: Elements, by what they mean for the text.
 RAW = {"script", "style", "textarea", "title", "xmp", "noembed", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -72,9 +78,9 @@ def _kind(tag: str, attributes: str, in_main: bool) -> str:
     return "main" if tag in ("article", "main") or "main" in roles or item == "articlebody" else ""
 
 
-def blocks(page: str) -> list[tuple[str, bool, bool]]:
-    """(text, in a main element, in an element that holds no text of the article) of every block in page order."""
-    out: list[tuple[str, bool, bool]] = []
+def blocks(page: str) -> list[tuple[str, bool, bool, bool]]:
+    """(text, in a main element, in an element that holds no text of the article, in a heading) of every block in page order."""
+    out: list[tuple[str, bool, bool, bool]] = []
     piece: list[str] = []
     stack: list[tuple[str, str]] = []
     opened: Counter = Counter()
@@ -84,7 +90,7 @@ def blocks(page: str) -> list[tuple[str, bool, bool]]:
         if piece:
             text = " ".join("".join(piece).split())
             if text:
-                out.append((text, n_main > 0, n_off > 0))
+                out.append((text, n_main > 0, n_off > 0, any(opened[h] for h in HEADINGS)))
             piece.clear()
 
     at, end = 0, len(page)
@@ -208,19 +214,19 @@ def common_lines(a: list[str], b: list[str]) -> set[int]:
     return {*range(p), *range(len(a) - q, len(a)), *(p + i for i in middle)}
 
 
-def main_lines(lines: list[str], in_main: list[bool], off: list[bool], shared: set[int]) -> tuple[list[str], int, int]:
-    """(the text's lines, shared lines that marks keep, unshared lines that marks remove)."""
-    marked = any(m and not o for m, o in zip(in_main, off))
+def main_lines(lines: list[str], in_main: list[bool], off: list[bool], heading: list[bool], shared: set[int]) -> tuple[list[str], int, int]:
+    """(the text's lines, shared lines that the veto keeps, unshared lines that marks remove)."""
+    main = [i for i in range(len(lines)) if in_main[i] and not off[i]]
+    words = {i: len(lines[i].split()) for i in main}
+    copied = sum(words[i] for i in main if i in shared) > COPIED * sum(words.values())
     kept, vetoed, settled = [], 0, 0
     for i, line in enumerate(lines):
-        keep = i not in shared
-        if off[i] or (marked and not in_main[i]):
-            settled += keep
-            keep = False
-        elif marked:
-            vetoed += not keep
-            keep = True
-        if keep:
+        if off[i] or (main and not in_main[i]):
+            settled += i not in shared
+        elif i not in shared:
+            kept.append(line)
+        elif main and (copied or heading[i] or words[i] >= BODY_WORDS or SENTENCE.search(line)):
+            vetoed += 1
             kept.append(line)
     return kept, vetoed, settled
 
@@ -299,7 +305,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             rows = []
             for h, p, k, i, u, page in zip(*[c.to_pylist() for c in batch.columns]):
                 found = blocks(page or "")
-                lines, flags = [b[0] for b in found], bytes(b[1] | b[2] << 1 for b in found)
+                lines, flags = [b[0] for b in found], bytes(b[1] | b[2] << 1 | b[3] << 2 for b in found)
                 key, mark = (h, p, k), hashed(lines)
                 rows.append((bisect_left(highs, key), 0, h, p, k, mark, i, u, lines, flags))
                 rows += [(j, side, h, p, k, mark, i, None, lines, b"") for j, side in wanted.get((key, mark), ())]
@@ -323,7 +329,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 if other is not None:
                     shared |= common_lines(lines, other)
             for i, url, flags in run:
-                text, vetoed, settled = main_lines(lines, [bool(f & 1) for f in flags], [bool(f & 2) for f in flags], shared)
+                text, vetoed, settled = main_lines(lines, *[[bool(f & bit) for f in flags] for bit in (1, 2, 4)], shared)
                 out.append((i, url, "\n".join(text), len(lines), len(shared), vetoed, settled))
 
         def batch_of(rows):

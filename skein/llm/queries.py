@@ -44,7 +44,7 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = html.extract(_table(spark, sf_dir, "pages"))
-    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_lines", "n_shared", "n_vetoed", "n_marked")
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
