@@ -91,6 +91,26 @@ def _apply(text: pd.Series, diff: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["ok", "text", "error"])
 
 
+def apply_all(text: str, diffs: list[str]) -> str:
+    """text with diffs applied one after another, each to what the ones before left; ValueError says which does not apply."""
+    for k, diff in enumerate(diffs, 1):
+        try:
+            text = apply(text, diff)
+        except ValueError as e:
+            raise ValueError(f"edit {k} of {len(diffs)}: {e}" if len(diffs) > 1 else str(e)) from e
+    return text
+
+
+def _apply_chain(text: pd.Series, diffs: pd.Series) -> pd.DataFrame:
+    rows = []
+    for t, chain in zip(text, diffs):
+        try:
+            rows.append((True, apply_all(t or "", list(chain)), None))
+        except ValueError as e:
+            rows.append((False, None, str(e)))
+    return pd.DataFrame(rows, columns=["ok", "text", "error"])
+
+
 def diff_sections(diff):
     """array<struct<path, body>> of a multi-file diff column."""
     return F.pandas_udf(_sections, "array<struct<path:string,body:string>>")(diff)
@@ -99,3 +119,8 @@ def diff_sections(diff):
 def apply_diff(text, diff):
     """struct<ok, text, error>: text with the diff applied, all of it or nothing."""
     return F.pandas_udf(_apply, "struct<ok:boolean,text:string,error:string>")(text, diff)
+
+
+def apply_chain(text, diffs):
+    """struct<ok, text, error>: text with an array of diffs applied in order, all of them or nothing."""
+    return F.pandas_udf(_apply_chain, "struct<ok:boolean,text:string,error:string>")(text, diffs)

@@ -6,6 +6,8 @@ deterministic (one id a character of <role>content</role>); the operators take a
 
 from __future__ import annotations
 
+import random
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -138,6 +140,22 @@ def chosen_steps(n: Column, limit: int, seed: Column) -> Column:
     return F.when((n <= limit) | F.lit(limit <= 0), every).otherwise(some)
 
 
+def shuffled_steps(n: Column, limit: int, seed: Column) -> Column:
+    """chosen_steps by the Mersenne Twister of Python's random with an integer seed, as a published run drew them.
+
+    The steps before the last are shuffled, and the first limit - 1 of them go with the last one.
+    """
+
+    def draw(size, start) -> list[int]:
+        if limit <= 0 or size <= limit:
+            return list(range(size))
+        others = list(range(size - 1))
+        random.Random(int(start)).shuffle(others)
+        return sorted([*others[: limit - 1], size - 1])
+
+    return F.pandas_udf(lambda a, b: pd.Series([draw(int(x), y) for x, y in zip(a, b)]), "array<int>")(n, seed)
+
+
 def step_sample(prompt: list[dict], completion: list[int], max_len: int) -> tuple[list[int], list[int]]:
     """(input_ids, labels) of one step: a prompt fitted to what the completion leaves, its head kept at the last resort."""
     completion = completion[: max(1, max_len // 2)]

@@ -50,14 +50,18 @@ def edit_error(path: Column, diff: Column, targets: Column, is_folder: Column, p
     )
 
 
-def apply_to_tree(files: DataFrame, diffs: DataFrame, key: str, path: str = "path", text: str = "text", diff: str = "diff") -> DataFrame:
-    """(key, path, ok, text, error): each file of a tree that a multi-file diff touches, all or nothing by file.
+def apply_to_tree(files: DataFrame, diffs: DataFrame, key: str, path: str = "path", text: str = "text", diff: str = "diff", order: str | None = None) -> DataFrame:
+    """(key, path, ok, text, error): each file of a tree that diffs touch, a row a path, all or nothing by file.
 
-    A file that the tree lacks is empty before.
+    A diff may touch many files, and with `order` many diffs one after another the same file: each applies to what those before
+    it left, as in the replay of an episode's edits.  A file that the tree lacks is empty before.
     """
-    parts = diffs.select(key, F.explode(patch.diff_sections(F.col(diff))).alias("s")).select(key, F.col("s.path").alias(path), F.col("s.body").alias("_body"))
-    both = parts.join(files.select(key, path, text), [key, path], "left")
-    return both.withColumn("r", patch.apply_diff(F.coalesce(text, F.lit("")), "_body")).select(key, path, "r.ok", F.col("r.text").alias(text), "r.error")
+    step = F.col(order) if order else F.lit(0)
+    parts = diffs.select(key, step.alias("_step"), F.posexplode(patch.diff_sections(F.col(diff))).alias("_at", "s"))
+    parts = parts.select(key, F.col("s.path").alias(path), F.struct("_step", "_at", F.col("s.body").alias("body")).alias("_part"))
+    chains = parts.groupBy(key, path).agg(F.transform(F.array_sort(F.collect_list("_part")), lambda p: p["body"]).alias("_diffs"))
+    both = chains.join(files.select(key, path, text), [key, path], "left")
+    return both.withColumn("r", patch.apply_chain(F.coalesce(text, F.lit("")), "_diffs")).select(key, path, "r.ok", F.col("r.text").alias(text), "r.error")
 
 
 def code_signature(text: str) -> list:

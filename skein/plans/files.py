@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import episodes
+from ..operators import episodes, labels, runs, tokenized
 from ..sources import lines
 from ..stored import shared_folder, stored
 from ..streaming.episodes import outcome_stream, outcomes
@@ -124,3 +124,33 @@ def ledger_snapshots(t):
     left = pending(t("documents").select("doc_id"), latest, "doc_id", "verified", retry=True).select("doc_id", F.lit(True).alias("_left"))
     both = t("documents").select("doc_id").join(latest, "doc_id", "left").join(left, "doc_id", "left")
     return both.select("doc_id", "verified", F.coalesce("_left", F.lit(False)).alias("pending"))
+
+
+@query(
+    """with d as (select doc_id, text, split_part(text, chr(10), 1) as one from documents)
+select doc_id, one <> '' and doc_id % 3 <> 2 as ok, case when one <> '' and doc_id % 3 <> 2 then md5('second' || chr(10) || 'more' || substr(text, length(one) + 1)) end as digest,
+  case when one = '' or doc_id % 3 = 2 then true else false end as failed from d"""
+)
+def replayed_edits(t):
+    """Two or three edits of a document's first line, one after another; every third document's last one does not match."""
+    rows = t("documents").select("doc_id", F.lit("m").alias("path"), "text")
+    one = F.substring_index("text", "\n", 1)
+    head = "--- a/m\n+++ b/m\n@@ -1 +1"
+    first = F.when(one != "", F.concat(F.lit(f"{head} @@\n-"), one, F.lit("\n+first"))).otherwise(F.lit(f"{head} @@\n-no such line\n+x"))
+    edits = F.array(first, F.lit(f"{head},2 @@\n-first\n+second\n+more"), F.when(F.col("doc_id") % 3 == 2, F.lit(f"{head} @@\n-first\n+again")))
+    diffs = rows.select("doc_id", F.posexplode(F.filter(edits, lambda e: e.isNotNull())).alias("at", "diff"))
+    out = runs.apply_to_tree(rows, diffs.repartition(F.xxhash64("at")), "doc_id", order="at")
+    return out.select("doc_id", "ok", F.md5("text").alias("digest"), F.col("error").isNotNull().alias("failed"))
+
+
+@query()
+def token_labels(t):
+    """Transcripts under a byte-level BPE and a template of turns: ids, supervised ids, and the ends of messages."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = f.read()
+    turn = F.struct("turn", "role", F.col("text").alias("content"))
+    rows = t("conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(turn)), lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))).alias("messages"))
+    out = rows.withColumn("e", tokenized.encode_transcripts("messages", ranks, public_tokenizers.PATTERN))
+    return out.select("conv_id", F.size("e.input_ids").alias("n"), labels.supervised(F.col("e.labels")).alias("supervised"), F.to_json("e.ends").alias("ends"))
