@@ -159,6 +159,18 @@ def allowed(argv: Column, binaries: list[str]) -> Column:
     return F.coalesce(name.isin(*binaries), F.lit(False))
 
 
+#: Variables of the environment that an untrusted process may see
+ENVIRONMENT_VARIABLES = (
+    "PATH", "HOME", "USERPROFILE", "LOGNAME", "USER", "TMP", "TEMP", "TMPDIR", "SYSTEMROOT", "SYSTEMDRIVE", "WINDIR",
+    "LANG", "LC_ALL", "LC_CTYPE", "PYTHONIOENCODING", "PYTHONHASHSEED", "PYTHONNOUSERSITE", "VIRTUAL_ENV", "CONDA_PREFIX",
+)
+
+
+def allowed_environment(variables: Column, names: tuple[str, ...] = ENVIRONMENT_VARIABLES) -> Column:
+    """A map of variables without those that are not on the list."""
+    return F.map_filter(variables, lambda k, _: k.isin(*names))
+
+
 def merged(defaults: dict, given: dict | None) -> dict:
     """Defaults with the given values of known keys."""
     return dict(chain(defaults.items(), ((k, v) for k, v in (given or {}).items() if k in defaults)))

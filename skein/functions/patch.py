@@ -3,6 +3,7 @@
 import re
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 HUNK = re.compile(r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@")
@@ -71,10 +72,11 @@ def apply(text: str, section: str) -> str:
     return "\n".join(lines) + ("\n" if lines and (had_newline or not text) else "")
 
 
-def targets(diff: str) -> list[str]:
-    """The distinct paths that a diff writes to, in order."""
-    found = (re.match(r"\+\+\+ (?:[ab]/)?(\S+)", line) for line in diff.replace("\r\n", "\n").split("\n"))
-    return list(dict.fromkeys(m[1] for m in found if m and m[1] != "/dev/null"))
+def targets(diff: Column) -> Column:
+    """The distinct names in the heads of a diff, of either side, in order; a new file's /dev/null is one."""
+    lines = F.split(F.regexp_replace(diff, "\r\n", "\n"), "\n")
+    names = F.transform(lines, lambda x: F.regexp_replace(F.regexp_extract(x, r"^(?:---|\+\+\+) (?:[ab]/)?([^\t\n]+)", 1), r"(?U)\A\s+|\s+\z", ""))
+    return F.array_distinct(F.filter(names, lambda x: x != ""))
 
 
 def _sections(diff: pd.Series) -> pd.Series:

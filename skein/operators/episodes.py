@@ -45,6 +45,17 @@ def failure_category(resolved, error, status, patch_valid, test_status) -> Colum
     )
 
 
+#: What failure_category says
+CATEGORIES = ("resolved", "wrong_file", "incomplete_patch", "test_environment_issue", "infrastructure_error", "step_budget_exhaustion", "policy_error")
+
+
+def category_counts(df: DataFrame, category: Column) -> DataFrame:
+    """(category, n) of every category, those that do not occur with 0."""
+    counts = [F.count_if(category == c).alias(c) for c in CATEGORIES]
+    pairs = F.array(*[F.struct(F.lit(c).alias("category"), F.col(c).alias("n")) for c in CATEGORIES])
+    return df.agg(*counts).select(F.explode(pairs).alias("p")).select("p.*")
+
+
 def paired(df: DataFrame, treatment: Column, baseline: Column) -> DataFrame:
     """Counts of a paired comparison and the exact McNemar test's log10 p, in one pass."""
     t, b = F.coalesce(treatment, F.lit(False)), F.coalesce(baseline, F.lit(False))

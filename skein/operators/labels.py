@@ -30,6 +30,11 @@ def trains(m: Column) -> Column:
     return (m["role"] == "assistant") & F.coalesce(m["train"], F.lit(True))
 
 
+def without_flags(messages: Column, *names: str) -> Column:
+    """Messages as a template may see them, without bookkeeping fields ('train' unless others are named)."""
+    return F.transform(messages, lambda m: m.dropFields(*(names or ("train",))))
+
+
 def encoded(messages: Column) -> Column:
     """struct<input_ids, labels>: ids of the whole transcript; labels are ids where a message is trained on, else -100.
 

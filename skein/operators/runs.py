@@ -33,7 +33,7 @@ def with_defaults(records: DataFrame) -> DataFrame:
 
 
 def diff_targets(diff) -> Column:
-    return F.pandas_udf(lambda s: s.map(lambda d: patch.targets(d or "")), "array<string>")(diff)
+    return patch.targets(F.coalesce(F.col(diff) if isinstance(diff, str) else diff, F.lit("")))
 
 
 def edit_error(path: Column, diff: Column, targets: Column, is_folder: Column, parent_exists: Column) -> Column:

@@ -99,3 +99,24 @@ def page(df: DataFrame, order: list[str], limit: int, offset: int = 0) -> DataFr
 def batches(df: DataFrame, order: Column, size: int, update: int) -> DataFrame:
     """The rows of one update: the first `size` by a hash that changes with the update."""
     return df.orderBy(F.xxhash64(order, F.lit(update)), order).limit(size)
+
+
+def with_setup(df: DataFrame, setup: DataFrame, key: str, defaults: dict) -> DataFrame:
+    """Rows with the setup of their key (a small dimension, a row a key); defaults where the key has none, or a null in it."""
+    both = df.join(setup.select(key, *defaults), key, "left")
+    return both.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in defaults.items()})
+
+
+def queued(*queues: DataFrame) -> DataFrame:
+    """The rows of queues one after another, as bags, with the number of the queue that each is from."""
+    numbered = [q.withColumn("queue", F.lit(i)) for i, q in enumerate(queues)]
+    out = numbered[0]
+    for q in numbered[1:]:
+        out = out.unionByName(q)
+    return out
+
+
+def shared_between(df: DataFrame, split: str, key: str) -> DataFrame:
+    """(key, splits): keys that stand in more than one split, with the splits in order; no rows if the splits are disjoint."""
+    pairs = df.select(key, split).where(F.col(key).isNotNull()).distinct()
+    return pairs.groupBy(key).agg(F.array_sort(F.collect_list(split)).alias("splits")).where(F.size("splits") > 1)

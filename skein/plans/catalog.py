@@ -380,14 +380,18 @@ def set_operations(t):
     return ids.agg(F.count_if(F.col("a") | F.col("b")).alias("either"), F.count_if(F.col("a") & F.col("b")).alias("both"), F.count_if(F.col("a") & ~F.col("b")).alias("only_first"))
 
 
-@query()
+@query(
+    """with d as (select doc_id, text, string_split(text, chr(10)) as l from documents), n as (select *, len(l) - case when l[-1] = '' then 1 else 0 end as n from d)
+select doc_id, n > 0 as ok, 1 as n_sections, case when n > 1 then md5(l[1] || chr(10) || 'changed' || substr(text, length(l[1]) + length(l[2]) + 2)) when n = 1 then md5('changed' || substr(text, length(l[1]) + 1)) end as digest from n"""
+)
 def patch_round_trip(t):
-    """Every document with its second line replaced by a diff."""
+    """Every document with its second line, or its only one, replaced by a diff."""
     lines = F.split("text", "\n")
-    d = t("documents").where(F.size(lines) >= 3).select("doc_id", "text", lines.alias("l"))
-    diff = F.concat_ws("\n", F.lit("--- a/x"), F.lit("+++ b/x"), F.lit("@@ -1,3 +1,3 @@"), F.concat(F.lit(" "), F.get("l", F.lit(0))), F.concat(F.lit("-"), F.get("l", F.lit(1))), F.lit("+changed"), F.concat(F.lit(" "), F.get("l", F.lit(2))))
-    out = d.withColumn("r", patch.apply_diff("text", diff)).select("doc_id", "r.ok", F.size(patch.diff_sections(diff)).alias("n_sections"), F.md5("r.text").alias("digest"))
-    return out
+    d = t("documents").select("doc_id", "text", lines.alias("l"), (F.size(lines) - F.when(F.element_at(lines, -1) == "", 1).otherwise(0)).alias("n"))
+    two = F.concat(F.lit("@@ -1,2 +1,2 @@\n "), F.get("l", F.lit(0)), F.lit("\n-"), F.get("l", F.lit(1)), F.lit("\n+changed"))
+    one = F.concat(F.lit("@@ -1 +1 @@\n-"), F.get("l", F.lit(0)), F.lit("\n+changed"))
+    diff = F.concat(F.lit("--- a/x\n+++ b/x\n"), F.when(F.col("n") > 1, two).otherwise(one))
+    return d.withColumn("r", patch.apply_diff("text", diff)).select("doc_id", "r.ok", F.size(patch.diff_sections(diff)).alias("n_sections"), F.md5("r.text").alias("digest"))
 
 
 from . import files, records, searching  # noqa: E402, F401  register their queries

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import guards, text, toolcalls
 from ..operators import compaction, episodes, labels, rollouts, runs, search, tasks, verify
 from ..streaming import ledger
-from .catalog import _wilson_sql, query
+from .catalog import SPLIT, _wilson_sql, query
 
 # ---------------------------------------------------------------- tool calls
 
@@ -97,14 +97,17 @@ def episode_kinds(t):
 @query(
     f"""select category, count(*) as n from (select case when event_type = 'purchase' then 'resolved' when event_type = 'error' and event_id % 5 = 0 then 'test_environment_issue'
 when event_type = 'error' and event_id % 5 in (1, 2) then 'infrastructure_error' when event_type = 'error' then 'policy_error' when event_type = 'login' then 'step_budget_exhaustion'
-when event_type = 'view' then 'incomplete_patch' when event_id % 2 = 0 then 'test_environment_issue' else 'wrong_file' end as category, {ERRORS} from events) group by 1"""
+when event_type = 'view' then 'incomplete_patch' when event_id % 2 = 0 then 'test_environment_issue' else 'wrong_file' end as category, {ERRORS} from events) group by 1
+union all select category, 0 from (values ('resolved'), ('wrong_file'), ('incomplete_patch'), ('test_environment_issue'), ('infrastructure_error'), ('step_budget_exhaustion'), ('policy_error')) c(category)
+where category not in (select case event_type when 'purchase' then 'resolved' when 'login' then 'step_budget_exhaustion' when 'view' then 'incomplete_patch' when 'error' then 'policy_error' else 'wrong_file' end from events
+  union all select case when event_type = 'error' then 'infrastructure_error' else 'test_environment_issue' end from events)"""
 )
 def failure_categories(t):
     e = F.col("event_type")
     status = F.when(e == "error", "error").when(e == "login", "budget_exhausted").otherwise("submitted")
     tests = F.when(F.col("event_id") % 2 == 0, "timeout").otherwise("fail")
     kind = episodes.failure_category(e == "purchase", F.expr(ERRORS), status, e != "view", tests)
-    return t("events").groupBy(kind.alias("category")).agg(F.count("*").alias("n"))
+    return episodes.category_counts(t("events"), kind)
 
 
 @query(
@@ -290,9 +293,9 @@ def supervision_table(t):
     return episodes.supervision(rows, "conv_id", "turn", "role", "name", "text")
 
 
-@query("select event_type as kind, count(*) as n from events where event_id % 2 = 0 group by 1")
+@query("select event_type as kind, count(*) as n from events where event_type <> 'view' group by 1")
 def error_kinds(t):
-    rows = t("events").select(F.when(F.col("event_id") % 2 == 0, "tool").otherwise("user").alias("role"), F.concat(F.lit("error: "), "event_type", F.lit(": more")).alias("text"))
+    rows = t("events").select(F.when(F.col("event_type") != "view", "tool").otherwise("user").alias("role"), F.concat(F.lit("error: "), "event_type", F.lit(": more")).alias("text"))
     return episodes.error_kinds(rows, "role", "text")
 
 
@@ -534,13 +537,12 @@ def candidate_names(t):
 
 
 @query(
-    """with l as (select doc_id, string_split(text, chr(10)) as ls from documents where text <> ''), n as (select *, case when ls[-1] = '' then len(ls) - 1 else len(ls) end as n from l),
+    """with l as (select doc_id, string_split(text, chr(10)) as ls from documents), n as (select *, case when ls[-1] = '' then len(ls) - 1 else len(ls) end as n from l),
 w as (select *, least(3, n) as last from n)
 select doc_id, case when n < 2 then 'error: no lines in range 2-3 for f' else array_to_string(list_transform(range(2, last + 1), lambda i: i || ': ' || ls[i]), chr(10)) end as shown from w"""
 )
 def read_windows(t):
-    rows = t("documents").where("text != ''")
-    return rows.select("doc_id", compaction.read_lines(F.col("text"), F.lit(2), F.lit(3), F.lit("f")).alias("shown"))
+    return t("documents").select("doc_id", compaction.read_lines(F.col("text"), F.lit(2), F.lit(3), F.lit("f")).alias("shown"))
 
 
 @query(
@@ -594,12 +596,12 @@ def compacted_transcripts(t):
 
 
 @query(
-    """with a as (select doc_id, quality = 1 as ok from labels), t as (select doc_id, arg_max(quality = 1, toxic) as ok from labels group by 1), b as (select doc_id, arg_max(toxic = 1, quality) as ok from labels where doc_id % 2 = 0 group by 1)
+    """with a as (select doc_id, quality = 1 as ok from labels), t as (select doc_id, arg_max(quality = 1, toxic) as ok from labels group by 1), b as (select doc_id, arg_max(toxic = 1, quality) as ok from labels group by 1)
 select count(*) as n, count_if(t.ok and b.ok)::bigint as both, count_if(not t.ok and not b.ok)::bigint as neither, count_if(t.ok and not b.ok)::bigint as treatment_only, count_if(not t.ok and b.ok)::bigint as baseline_only from t join b using (doc_id)"""
 )
 def paired_arms(t):
     one = t("labels").select("doc_id", F.col("toxic").alias("o"), (F.col("quality") == 1).alias("ok"))
-    two = t("labels").where("doc_id % 2 = 0").select("doc_id", F.col("quality").alias("o"), (F.col("toxic") == 1).alias("ok"))
+    two = t("labels").select("doc_id", F.col("quality").alias("o"), (F.col("toxic") == 1).alias("ok"))
     return episodes.paired_arms(one, two, "doc_id", "o", "ok").drop("log10_p")
 
 
@@ -620,15 +622,32 @@ def pending_page(t):
     return tasks.page(left, ["doc_id"], 50, 10)
 
 
-@query("select n_nationkey, n_name, r_name as runner from nation join region on n_regionkey = r_regionkey")
+@query("select n_nationkey, n_name, case when n_regionkey % 2 = 0 then r_name else 'pytest' end as runner from nation join region on n_regionkey = r_regionkey")
 def runner_lookup(t):
-    return t("nation").join(F.broadcast(t("region")), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", F.col("r_name").alias("runner"))  # regions: five rows
+    setup = t("region").where("r_regionkey % 2 = 0").select(F.col("r_regionkey").alias("n_regionkey"), F.col("r_name").alias("runner"))
+    return tasks.with_setup(t("nation"), setup, "n_regionkey", {"runner": "pytest"}).select("n_nationkey", "n_name", "runner")
 
 
-@query("select count(*) as shared from (select distinct user_id from events where event_id % 2 = 0 intersect select distinct user_id from events where event_id % 2 = 1)")
+@query(
+    f"""with s as (select doc_id, text, {SPLIT} as split from documents), a as (select 'text' as what, md5(text) as key, list(distinct split order by split) as splits from s group by text),
+b as (select 'id' as what, doc_id::varchar as key, list(distinct split order by split) as splits from s group by doc_id)
+select what, key, array_to_string(splits, ',') as splits from (select * from a union all select * from b) where len(splits) > 1"""
+)
 def split_overlap(t):
-    side = lambda k: t("events").where(F.col("event_id") % 2 == k).select("user_id")
-    return side(0).intersect(side(1)).agg(F.count("*").alias("shared"))
+    """Texts that stand in more than one split, and ids, of which there are none."""
+    rows = tasks.assign_split(t("documents"), F.col("doc_id")).select(F.col("doc_id").cast("string").alias("id"), F.md5("text").alias("text"), "split")
+    found = [tasks.shared_between(rows.select(F.col(c).alias("key"), "split"), "split", "key").select(F.lit(c).alias("what"), "key", F.array_join("splits", ",").alias("splits")) for c in ("text", "id")]
+    return found[0].unionByName(found[1])
+
+
+@query(
+    "select queue, count(*) as n, sum(doc_id)::bigint as total from (select case when quality = 1 then 0 else 1 end as queue, doc_id from labels) group by 1"
+)
+def queued_tasks(t):
+    """Tasks of two queues as one bag: those that run one after another, then those that run side by side."""
+    rows = t("labels").select("doc_id", "quality")
+    both = tasks.queued(rows.where("quality = 1"), rows.where("quality != 1"))
+    return both.groupBy("queue").agg(F.count("*").alias("n"), F.sum("doc_id").alias("total"))
 
 
 @query(
@@ -705,11 +724,10 @@ def edit_checks(t):
 
 
 @query(
-    """select doc_id, 'f' || doc_id as path, true as ok, md5('changed' || chr(10) || array_to_string(string_split(text, chr(10))[2:], chr(10)) || case when contains(text, chr(10)) then '' else '' end) as digest
-from documents where contains(text, chr(10)) and not ends_with(text, chr(10))"""
+    """select doc_id, 'f' || doc_id as path, text <> '' as ok, case when text <> '' then md5('changed' || substr(text, length(split_part(text, chr(10), 1)) + 1)) end as digest from documents"""
 )
 def patched_trees(t):
-    rows = t("documents").where(F.contains("text", F.lit("\n")) & ~F.endswith("text", F.lit("\n"))).select("doc_id", F.format_string("f%d", "doc_id").alias("path"), "text")
+    rows = t("documents").select("doc_id", F.format_string("f%d", "doc_id").alias("path"), "text")
     diff = F.concat(F.lit("--- a/"), "path", F.lit("\n+++ b/"), "path", F.lit("\n@@ -1 +1 @@\n-"), F.substring_index("text", "\n", 1), F.lit("\n+changed"))
     out = runs.apply_to_tree(rows, rows.select("doc_id", diff.alias("diff")), "doc_id")
     return out.select("doc_id", "path", "ok", F.md5("text").alias("digest"))

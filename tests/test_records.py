@@ -101,7 +101,7 @@ def test_patches():
     with pytest.raises(ValueError):
         patch.hunks("@@ -1,1 +1,3 @@\n-a\n-b\n+c\n+d\n+e")  # overshoots its source count
     assert patch.apply("a\r\nb\r\n", "@@ -1 +1 @@\r\n-a\r\n+c\r\n") == "c\nb\n"
-    assert patch.targets("+++ b/x\n+++ /dev/null\n+++ a/y\n+++ b/x") == ["x", "y"]
+    assert one(spark, patch.targets(F.lit("--- a/x\n+++ b/x\n+++ /dev/null\n+++ a/y z.py \t2024\r\n--- b/old\n++++ no\n+++ b/x"))) == ["x", "/dev/null", "y z.py", "old"]
 
 
 def test_gate(spark):
