@@ -2,16 +2,18 @@
 
 Texts and items are lower-cased words of letters and digits.  A CGK walk reads a window of words and, at every step, writes
 the word it stands on and moves on or not as a random bit of the step and the word says; windows at a small edit distance
-write sequences at a small Hamming distance.  A repetition has its own walk and samples one coordinate of it; a window is a
-candidate for an item where a repetition's samples agree.  How many repetitions reach the target recall is measured for
-each length, with substitutions, insertions and deletions at the bound (`repetitions`): about one for every two words.  Items
-over PIECE words are hashed in pieces: some piece has at most its share of the edits.  Candidates are verified by the exact
-edit distance of the item to its best span.
-
-Which windows are embedded.  An edit spoils at most three of an item's word triples, so the window of as many words as the
-item has, from the start of a span within the bound, still holds a number of them; windows elsewhere cannot match and are
-left out without loss.  Windows may run past the end of a text, so a text shorter than an item, or one that ends in a
-passage with deleted words, is searched as well.  Triples and words are compared by 64-bit hashes.
+write sequences at a small Hamming distance.  A repetition has its own walk and samples one coordinate of it; the samples of
+the items are the keys of a table (length, piece, repetition, word), in which the samples of a window are looked up.  What
+the table finds is a candidate, and nothing else is.  How many repetitions reach the target recall is measured for each
+length, with substitutions, insertions and deletions at the bound (`repetitions`): about one for every two words.  Items
+over PIECE words are hashed in pieces: some piece has at most its share of the edits.  Items that match only themselves are
+looked up by the hash of all their words.  Candidates are verified by the exact edit distance of the item to its best span.
+
+Which windows are walked.  An edit spoils at most three of an item's word triples, so the window of as many words as the item
+has, from the start of a span within the bound, still holds a number of triples that some item of that length has; windows
+elsewhere cannot match and are left out without loss, whichever item they are near.  Windows may run past the end of a text,
+so a text shorter than an item, or one that ends in a passage with deleted words, is searched as well.  Triples and words are
+compared by 64-bit hashes.
 
 The items are sent in blocks of at most block_words words, so what is sent stays bounded; every document meets every
 block, without any shuffle.
@@ -37,6 +39,8 @@ from .words import NOT_ALNUM, chunks, mix, same_row, span_hashes, spans, windows
 TRIPLE_BITS = 24
 PIECE = 128
 TARGET, TRIALS = 0.999, 500
+#: words of the windows that are walked together
+SLAB = 1 << 19
 
 
 def bound(n_words: int, percent: int, min_words: int) -> int:
@@ -120,8 +124,44 @@ def best_span(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     return int(d[at]), int(start[at]), int(at)
 
 
+def _pieces(n: int) -> list[tuple[int, int]]:
+    """(offset, size) of the pieces of an item of n words."""
+    ends = np.linspace(0, n, -(-n // PIECE) + 1).astype(int).tolist()
+    return [(a, b - a) for a, b in zip(ends[:-1], ends[1:])]
+
+
+class _Table:
+    """Items of one length by the samples of one piece: (repetition, word) to items."""
+
+    def __init__(self, items: np.ndarray, words: np.ndarray, repeats: int):
+        """words: a row an item, of the piece's words; with no repeats items are known by all of them."""
+        self.repeats = repeats
+        keys = self.keys_of(words)
+        order = np.argsort(keys.ravel(), kind="stable")
+        self.keys, self.items = keys.ravel()[order], np.repeat(items, keys.shape[1])[order]
+        self.keys, self.items = self.keys[self.keys != 0], self.items[self.keys != 0]
+
+    def keys_of(self, words: np.ndarray) -> np.ndarray:
+        """A row of keys for each row of words; 0 for samples past a row's end."""
+        if not self.repeats:
+            return windows(words.ravel(), words.shape[1])[:: words.shape[1]][:, None]
+        samples = walk(words, 0, self.repeats)
+        return np.where(samples != 0, mix(samples + mix(np.arange(self.repeats, dtype=np.uint64) + np.uint64(0x7AB1E))), np.uint64(0))
+
+    def find(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, item), each pair once, of the rows of words that share a key with an item."""
+        keys = self.keys_of(words)
+        low, high = np.searchsorted(self.keys, keys.ravel()), np.searchsorted(self.keys, keys.ravel(), "right")
+        n = np.where(keys.ravel() != 0, high - low, 0)
+        hit = np.flatnonzero(n)
+        n, low = n[hit], low[hit]
+        item = self.items[np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        pairs = np.unique(np.stack([np.repeat(hit // keys.shape[1], n), item]), axis=1)
+        return pairs[0], pairs[1]
+
+
 class ItemIndex:
-    """A block of items, by length and by triple; it is what every task gets."""
+    """A block of items, by length: their triples, and a table for each piece; it is what every task gets."""
 
     def __init__(self, items: list[tuple], percent: int, min_words: int):
         self.percent, self.min_words = percent, min_words
@@ -131,85 +171,63 @@ class ItemIndex:
         for k, w in enumerate(self.words):
             if len(w):
                 by_length[len(w)].append(k)
-        self.lengths = {n: ks for n, ks in sorted(by_length.items())}
         self.triples = np.zeros(1 << TRIPLE_BITS, bool)
         for w in self.words:
             self.triples[triples(w)] = True
-        self.short = defaultdict(list)
-        self.owners, self.pieces = {}, {}
-        for k, w in enumerate(self.words):
-            if len(w) >= 3:
-                ends = np.linspace(0, len(w), -(-len(w) // PIECE) + 1).astype(int).tolist()
-                share = bound(len(w), percent, min_words) // (len(ends) - 1)
-                self.pieces[k] = [(a, b - a, walk(w[None, a:b], 0, repetitions(b - a, share))[0]) for a, b in zip(ends[:-1], ends[1:])]
-        for n, ks in self.lengths.items():
-            if n < 3:
-                for k in ks:
-                    self.short[tuple(self.words[k].tolist())].append(k)
-                continue
-            # the triples of a length's items, and which items have each: owner[begin[i]:begin[i + 1]]
-            sets = [np.unique(windows(self.words[k], 3)) for k in ks]
-            triple, owner = np.concatenate(sets), np.repeat(ks, [len(x) for x in sets])
-            order = np.argsort(triple, kind="stable")
-            own, begin = np.unique(triple[order], return_index=True)
-            self.owners[n] = own, np.append(begin, len(order)), owner[order]
-
-    def stretches(self, n: int, h: np.ndarray, first: np.ndarray, row_of: np.ndarray, all3: np.ndarray, known: np.ndarray):
-        """(row, item, start, end) of every stretch of words in which an item of n words can match."""
-        if n < 3:
-            starts = np.flatnonzero(np.isin(h[: max(0, len(h) - n + 1)], np.array([self.words[k][0] for k in self.lengths[n]], np.uint64)))
-            for s in starts[row_of[starts] == row_of[starts + n - 1]].tolist():
-                for k in self.short.get(tuple(h[s : s + n].tolist()), ()):
-                    yield int(row_of[s]), k, s, s + n
-            return
-        own, begin, owner = self.owners[n]
+        self.own, self.tables = {}, {}
+        for n, ks in sorted(by_length.items()):
+            of, limit = np.stack([self.words[k] for k in ks]), bound(n, percent, min_words)
+            self.own[n] = np.unique(np.concatenate([windows(self.words[k], 3) for k in ks]))
+            pieces = _pieces(n) if limit else [(0, n)]
+            repeats = [repetitions(size, limit // len(pieces)) if limit else 0 for _, size in pieces]
+            self.tables[n] = [(offset, size, _Table(np.array(ks), of[:, offset : offset + size], r)) for (offset, size), r in zip(pieces, repeats)]
+
+    def stretches(self, n: int, h: np.ndarray, first: np.ndarray, row_of: np.ndarray, all3: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, start, end) of the stretches of words in which items of n words can match, apart from each other."""
         limit = bound(n, self.percent, self.min_words)
+        if n < 3:
+            low = np.flatnonzero(same_row(first, len(h), n))
+            return row_of[low], low, low + n
         need = max(1, n - 2 - 3 * limit)
-
-        def runs(hit: np.ndarray, of: np.ndarray) -> np.ndarray:
-            """The i at which hits i to i + need - 1 are of one kind and fit in a window of n words."""
-            last = need - 1
-            return np.flatnonzero((hit[last:] - hit[: len(hit) - last] <= n - 3) & (of[last:] == of[: len(of) - last])) if len(hit) >= need else np.zeros(0, np.int64)
-
-        at = np.minimum(np.searchsorted(own, all3[known]), len(own) - 1)
-        mine = own[at] == all3[known]
-        hit, at = known[mine], at[mine]
-        # first by the triples of all items of this length, then item by item
-        i, step = runs(hit, row_of[hit]), np.zeros(len(hit) + 1, np.int64)
-        step[i] += 1
-        step[i + need] -= 1
-        near = np.cumsum(step)[:-1] > 0
-        hit, at = hit[near], at[near]
-        count = begin[at + 1] - begin[at]
-        item = owner[np.repeat(begin[at] - np.cumsum(count) + count, count) + np.arange(count.sum())]
-        hit = np.repeat(hit, count)
-        order = np.lexsort((hit, item))
-        hit, item = hit[order], item[order]
-        of = item * len(first) + row_of[hit]
-        i = runs(hit, of)
+        own = self.own[n]
+        hit = known[own[np.minimum(np.searchsorted(own, all3[known]), len(own) - 1)] == all3[known]]
+        last = need - 1
+        if len(hit) < need:
+            return (np.zeros(0, np.int64),) * 3
+        i = np.flatnonzero((hit[last:] - hit[: len(hit) - last] <= n - 3) & (row_of[hit[last:]] == row_of[hit[: len(hit) - last]]))
         row = row_of[hit[i]]
-        low = np.maximum(first[row], hit[i + need - 1] - (n - 3))
+        low = np.maximum(first[row], hit[i + last] - (n - 3))
         end = np.minimum(hit[i] + n + limit, first[row + 1])
         if not len(i):
-            return
-        # stretches that overlap are searched as one
-        new = np.append(True, (of[i][1:] != of[i][:-1]) | (low[1:] >= end[:-1]))
+            return row, low, end
+        new = np.append(True, (row[1:] != row[:-1]) | (low[1:] > np.maximum.accumulate(end)[:-1]))
         begins = np.flatnonzero(new)
-        ends = np.append(begins[1:], len(i)) - 1
-        yield from zip(row[begins].tolist(), item[i[begins]].tolist(), low[begins].tolist(), end[ends].tolist())
-
-    def candidate(self, k: int, h: np.ndarray, a: int, b: int, end: int) -> bool:
-        """Whether some window of a piece's size in the stretch [a, b) of a text that ends at `end` agrees with item k."""
-        n = len(self.words[k])
-        limit = bound(n, self.percent, self.min_words)
-        for offset, size, samples in self.pieces[k]:
-            starts = np.arange(max(a, a + offset - limit), max(a, b - n + offset + limit) + 1)
-            at = starts[:, None] + np.arange(size)
-            words = np.where(at < end, h[np.minimum(at, len(h) - 1)], np.uint64(0))
-            for r in range(0, len(samples), 8):
-                if agree(walk(words, r, min(r + 8, len(samples))), samples[r : r + 8]).any():
-                    return True
-        return False
+        return row[begins], low[begins], np.maximum.reduceat(end, begins)
+
+    def candidates(self, n: int, h: np.ndarray, first: np.ndarray, row: np.ndarray, low: np.ndarray, end: np.ndarray):
+        """(row, item, start, end) of the stretches around the windows that a table finds, an item's apart from each other."""
+        limit, found = bound(n, self.percent, self.min_words), []
+        for offset, size, table in self.tables[n]:
+            start = np.maximum(low, low + offset - limit)
+            count = np.maximum(np.maximum(low, end - n + offset + limit) + 1 - start, 0)
+            at = np.repeat(start - np.cumsum(count) + count, count) + np.arange(count.sum())
+            of = np.repeat(row, count)
+            for a in range(0, len(at), max(1, SLAB // size)):
+                begin, stop = at[a : a + max(1, SLAB // size)], first[of[a : a + max(1, SLAB // size)] + 1]
+                place = begin[:, None] + np.arange(size)
+                hit, item = table.find(np.where(place < stop[:, None], h[np.minimum(place, len(h) - 1)], np.uint64(0)))
+                found.append((of[a + hit], item, begin[hit] - offset))
+        if not found:
+            return
+        rows, items, begin = (np.concatenate(x) for x in zip(*found))
+        order = np.lexsort((begin, items, rows))
+        rows, items, begin = rows[order], items[order], begin[order]
+        # a piece stands up to `limit` words from its place in the item, and the span ends up to `limit` words later or earlier
+        slack = limit * (2 if len(self.tables[n]) > 1 else 1)
+        a, b = np.maximum(first[rows], begin - slack), np.minimum(begin + n + slack, first[rows + 1])
+        if len(rows):
+            new = np.flatnonzero(np.append(True, (rows[1:] != rows[:-1]) | (items[1:] != items[:-1]) | (a[1:] > b[:-1])))
+            yield from zip(rows[new].tolist(), items[new].tolist(), a[new].tolist(), np.maximum.reduceat(b, new).tolist())
 
     def matches(self, h: np.ndarray, first: np.ndarray):
         """(row, item, distance, start, end) of the words h of some rows; first: each row's first word and their number."""
@@ -217,11 +235,9 @@ class ItemIndex:
         all3 = windows(h, 3)
         known = np.flatnonzero(self.triples[all3 >> np.uint64(64 - TRIPLE_BITS)] & same_row(first, len(h), 3)) if len(all3) else np.zeros(0, np.int64)
         found = {}
-        for n in self.lengths:
+        for n in self.tables:
             limit = bound(n, self.percent, self.min_words)
-            for row, k, a, b in self.stretches(n, h, first, row_of, all3, known):
-                if n >= 3 and not self.candidate(k, h, a, b, int(first[row + 1])):
-                    continue
+            for row, k, a, b in self.candidates(n, h, first, *self.stretches(n, h, first, row_of, all3, known)):
                 d, start, end = best_span(self.words[k], h[a:b])
                 if d <= limit:
                     best = (d, a + start - int(first[row]), a + end - int(first[row]))

@@ -100,6 +100,46 @@ def test_decontamination_finds_all_at_the_bound(spark):
     assert all(r.distance <= decontam.bound(r.item_id, 20, 8) for r in got)
 
 
+def brute_matches(texts, items):
+    """(text, item) to distance, where the nearest span lies within the bound: every text against every item."""
+    number = lambda t: np.array([hash(w) % 2**61 + 1 for w in re.findall("[a-z0-9]+", (t or "").lower())], np.uint64)
+    out = {}
+    for i, t in texts:
+        for k, item in items:
+            a, b = number(item), number(t)
+            if len(a) and len(b):
+                d, _, _ = decontam.best_span(a, b)
+                if d <= decontam.bound(len(a), 20, 8):
+                    out[i, k] = d
+    return out
+
+
+def test_decontamination_over_blocks_of_items_equals_brute_force(spark, monkeypatch):
+    """Items of many lengths, near each other and in blocks of a few; texts with edited items, whole or cut, and none."""
+    base = [["b%dx%d" % (n, j) for j in range(n)] for n in (1, 2, 3, 5, 8, 9, 13, 21, 40, 140, 300)]
+    items = [(k, " ".join(w)) for k, w in enumerate(base)] + [(50 + k, " ".join(edited(w, "mixed", 2))) for k, w in enumerate(base) if len(w) > 12] + [(90, None), (91, " ")]
+    texts = [(0, None), (1, "")]
+    for w in base * 2:
+        limit = decontam.bound(len(w), 20, 8)
+        for kind in ("substitute", "insert", "delete"):
+            for k in {0, limit // 2, limit, limit + 2}:
+                new = edited(w, kind, k) if len(w) > k + 2 else list(w)
+                texts.append((len(texts), " ".join(rnd.choices(VOCAB, k=rnd.randrange(20)) + new + rnd.choices(VOCAB, k=rnd.randrange(20)))))
+    docs, benchmark = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = brute_matches(texts, items)
+    for block_words in (60, 1 << 20):
+        got = {(r.doc_id, r.item_id): r.distance for r in decontam.benchmark_matches(docs, benchmark, block_words=block_words).collect()}
+        assert got == want
+
+
+def test_only_the_table_of_samples_proposes(monkeypatch):
+    words = np.arange(1, 41, dtype=np.uint64) * np.uint64(7919)
+    index, first = decontam.ItemIndex([(1, words)], 20, 8), np.array([0, 40])
+    assert [m[1] for m in index.matches(words, first)] == [1]
+    monkeypatch.setattr(decontam._Table, "find", lambda self, w: (np.zeros(0, np.int64),) * 2)
+    assert index.matches(words, first) == []
+
+
 def test_decontamination_at_the_end_of_a_text(spark):
     items, rows, want = [], [], {}
     for n in (10, 15, 30, 50):
