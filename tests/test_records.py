@@ -97,7 +97,7 @@ def test_lists_and_texts(spark):
     assert one(spark, text.clean_observation(F.lit(noise), "/w", r"Desktop\\p", "me")) == "a\n/home/user/x y /w/m/n.py user"
 
 
-def test_patches():
+def test_patches(spark):
     with pytest.raises(ValueError):
         patch.hunks("@@ -1,1 +1,3 @@\n-a\n-b\n+c\n+d\n+e")  # overshoots its source count
     assert patch.apply("a\r\nb\r\n", "@@ -1 +1 @@\r\n-a\r\n+c\r\n") == "c\nb\n"
