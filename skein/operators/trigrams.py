@@ -237,6 +237,7 @@ def matching_lines(texts: DataFrame, queries: DataFrame, keys: list[str], text:
     wanted = asked(queries, query, is_regex)
     postings = index(texts, keys, text) if postings is None else postings
     some = candidates(postings, wanted, keys).join(texts.select(*keys, text), keys)
+    some = some.where(F.col("is_regex") | F.contains(text, F.col("query")))  # before texts are cut into lines
     columns = ["query", "is_regex", *keys, "line_no", "line"]
     each = texts.select(*keys, F.explode(file_lines(F.col(text))).alias("_x")).select(*keys, "_x.line_no", "_x.line")
     return lines_in(some, ["query", "is_regex", *keys], text).select(columns).unionByName(unindexed(each, wanted, [*keys, "line_no"], "line").select(columns))
