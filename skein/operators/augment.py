@@ -67,9 +67,11 @@ def plan_searches(tasks: DataFrame, reads: DataFrame, history: History, two_step
     asked = history.keep(asked, "asked")
     hits = history.keep(history.hits(asked), "hits")
     counted = history.counted(asked, hits).where(F.col("n_hits").between(1, MAX_HITS))
-    patched = history.patched(tasks.where(F.length("diff") > 0).select(F.col("task_id").alias("req"), "repo", "seq", "diff")).withColumnRenamed("req", "task_id")
-    patched = patched.join(counted.select("task_id", "req"), "task_id").select("req", "path", "text")
-    found = history.search(counted, patched=patched, hits=hits).where(~F.col("truncated") & F.size("files").between(1, MAX_FILES))
+    diffs, patched = tasks.where(F.length("diff") > 0), None
+    if not diffs.isEmpty():
+        patched = history.patched(diffs.select(F.col("task_id").alias("req"), "repo", "seq", "diff")).withColumnRenamed("req", "task_id")
+        patched = history.keep(patched.join(asked.select("task_id", "req"), "task_id").select("req", "path", "text"), "patched")
+    found = history.search(counted, patched=patched, hits=hits, text=False).where(~F.col("truncated") & F.size("files").between(1, MAX_FILES))
     found = history.keep(found, "found")
     by_path = found.select("task_id", "query", "rank", "n_lines", F.explode("files.path").alias("path")).join(reads, ["task_id", "path"])
     of = Window.partitionBy("task_id", "path")
@@ -82,8 +84,10 @@ def plan_searches(tasks: DataFrame, reads: DataFrame, history: History, two_step
     chosen = chosen.join(first, "task_id").where("at0 = first")
     k = F.row_number().over(Window.partitionBy("task_id").orderBy("at", "best"))  # a broad one stands before the narrow one
     chosen = chosen.select("task_id", "query", k.alias("k"))
-    shown = found.select("task_id", "query", "n_lines", F.size("files").alias("n_files"), "files", "text")
-    return chosen.join(shown, ["task_id", "query"]).select("task_id", "k", "query", "n_lines", "n_files", "files", "text")
+    chosen = found.join(chosen, ["task_id", "query"]).select("task_id", "k", "req", "query", "n_lines", F.size("files").alias("n_files"), "files")
+    chosen = history.keep(chosen, "chosen")  # only these need their texts
+    said = history.search(chosen.select("req", "query"), patched=patched, hits=hits).select("req", "text")
+    return chosen.join(said, "req").select("task_id", "k", "query", "n_lines", "n_files", "files", "text")
 
 
 def merged_steps(steps: DataFrame, searches: DataFrame, reasoning: bool = True, **cleaning) -> DataFrame:

@@ -243,3 +243,26 @@ def test_a_history_keeps_no_rows_of_trigrams(spark):
     assert got == {req: sum(q in line for t in state(seq) for line in lines_of(t)) for req, _, seq, q in requests}
     assert sum(df.count() for df in keep.tables.values()) <= 4 * (len(changes) + len(requests))
     assert all("text" not in df.columns for df in keep.tables.values())
+
+
+def test_places_of_commits_in_a_large_repository(spark, monkeypatch):
+    monkeypatch.setattr(history, "PART", 3)
+    commits = {("r", s) for s in [-(2**62), 2**62, 2**62 + 1, *rnd.sample(range(10**6), 60), *range(5, 30)]} | {("s", 7)}
+    got = {(r["repo"], r["seq"]): r["place"] for r in history._places(spark.createDataFrame(list(commits), "repo string, seq long")).collect()}
+    assert got == {(repo, s): i for repo in "rs" for i, s in enumerate(sorted(s for r, s in commits if r == repo), 1)}
+    one = [c for c in commits if abs(c[1]) < 2**60]
+    rows = history._places(spark.createDataFrame(one, "repo string, seq long"))
+    assert {(r["repo"], r["seq"]): r["place"] for r in rows.collect()} == {(repo, s): i for repo in "rs" for i, s in enumerate(sorted(s for r, s in one if r == repo), 1)}
+
+
+def test_plans_keep_shown_lines_and_no_texts_but_of_searches_that_are_used(spark):
+    files = [("r", "a.py", 1, "wide_name" + "x" * 5000 + "\n"), ("r", "b.py", 1, "other_name " + "y" * 300 + "\n" * 2)]
+    tasks = spark.createDataFrame([("t", "r", 1, "`wide_name` and `other_name`", "")], "task_id string, repo string, seq long, issue string, diff string")
+    reads = spark.createDataFrame([("t", "a.py", 0)], "task_id string, path string, at int")
+    keep = Kept()
+    from pyspark.sql import functions as F
+
+    plan = augment.plan_searches(tasks, reads, history.History(spark.createDataFrame(files, SCHEMA), keep), F.lit(False)).collect()
+    assert [(r["k"], r["query"], r["text"]) for r in plan] == [(1, "wide_name", "a.py:1: " + ("wide_name" + "x" * 5000)[:400])]
+    longest = lambda df: max(len(str(list(r))) for r in df.collect())
+    assert longest(keep.tables["hits"]) < 600 and longest(keep.tables["found"]) < 200
