@@ -266,3 +266,12 @@ def test_plans_keep_shown_lines_and_no_texts_but_of_searches_that_are_used(spark
     assert [(r["k"], r["query"], r["text"]) for r in plan] == [(1, "wide_name", "a.py:1: " + ("wide_name" + "x" * 5000)[:400])]
     longest = lambda df: max(len(str(list(r))) for r in df.collect())
     assert longest(keep.tables["hits"]) < 600 and longest(keep.tables["found"]) < 200
+
+
+def test_augmentation_keeps_texts_of_chosen_searches_alone(spark):
+    keep = Kept()
+    h = history.History(spark.createDataFrame(FILES, SCHEMA), keep)
+    rows = augment.augment(spark.createDataFrame([record("t", "`Widget_core` and third_name", [READ_CORE])], RECORD), h).collect()
+    assert [(r["status"], r["meta"]["search_queries"]) for r in rows] == [("ok", ["Widget_core"])]
+    assert {name for name, df in keep.tables.items() if "text" in df.columns} == {"searches"} and keep.tables["searches"].count() == 1
+    assert "trigram" not in {c for df in keep.tables.values() for c in df.columns}
