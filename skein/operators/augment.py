@@ -85,8 +85,8 @@ def plan_searches(tasks: DataFrame, reads: DataFrame, history: History, two_step
     k = F.row_number().over(Window.partitionBy("task_id").orderBy("at", "best"))  # a broad one stands before the narrow one
     chosen = chosen.select("task_id", "query", k.alias("k"))
     chosen = found.join(chosen, ["task_id", "query"]).select("task_id", "k", "req", "query", "n_lines", F.size("files").alias("n_files"), "files")
-    chosen = history.keep(chosen, "chosen")  # only these need their texts
-    said = history.search(chosen.select("req", "query"), patched=patched, hits=hits).select("req", "text")
+    chosen = history.keep(chosen, "chosen")  # only these need their texts; a search may serve two reads, and is then there twice
+    said = history.search(chosen.select("req", "query").distinct(), patched=patched, hits=hits).select("req", "text")
     return chosen.join(said, "req").select("task_id", "k", "query", "n_lines", "n_files", "files", "text")
 
 
@@ -98,7 +98,7 @@ def merged_steps(steps: DataFrame, searches: DataFrame, reasoning: bool = True,
     order = Window.partitionBy("task_id").orderBy("step")
     path = F.when(F.col("name") == "read_file", F.get_json_object("arguments", "$.path"))
     shows = searches.select("task_id", "k", F.explode("files").alias("f")).select("task_id", "k", F.col("f.path").alias("path"), F.col("f.first_line").alias("line"))
-    first = shows.groupBy("task_id", "path").agg(F.min("k").alias("shown_by"))
+    first = shows.groupBy("task_id", "path").agg(F.min("k").alias("shown_by"), F.collect_list(F.struct("k", "line")).alias("lines"))
     n = searches.groupBy("task_id").agg(F.count("*").cast("int").alias("n_searches"))
     rows = steps.withColumn("path", path).join(first, ["task_id", "path"], "left").join(n, "task_id", "left").withColumn("n_searches", F.coalesce("n_searches", F.lit(0)))
     need = F.when(F.col("path").isNotNull(), F.coalesce("shown_by", "n_searches"))
@@ -107,8 +107,7 @@ def merged_steps(steps: DataFrame, searches: DataFrame, reasoning: bool = True,
     rows = rows.withColumn("content", clean_observation(F.col("content"), **cleaning))
     passing = (F.col("name") == "run_tests") & F.startswith(F.col("content"), F.lit("status=pass"))
     rows = rows.withColumn("passed", F.coalesce(F.bool_or(passing).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False)))
-    line = shows.select("task_id", F.col("k").alias("after"), "path", "line")
-    rows = rows.join(line, ["task_id", "after", "path"], "left")
+    rows = rows.withColumn("line", F.get(F.filter("lines", lambda x: x["k"] == F.col("after")), F.lit(0))["line"])
     stats = diff_stats(F.regexp_replace(F.coalesce(F.get_json_object("arguments", "$.diff"), F.lit("")), "\r\n", "\n"))
     where = F.when(F.col("line").isNotNull(), F.format_string(" (line %d)", "line")).otherwise("")
     note = (
@@ -117,16 +116,20 @@ def merged_steps(steps: DataFrame, searches: DataFrame, reasoning: bool = True,
         .when(F.col("name") == "run_tests", TESTED)
         .when(F.col("name") == "submit", F.when(F.col("passed") | F.startswith(F.col("content"), F.lit("status=pass")), PASSED).otherwise(SUBMITTED))
     )
-    own = rows.select("task_id", "step", F.lit(None).cast("int").alias("k"), "name", "arguments", "content", note.alias("note"))
-    # a search stands before the step at which the number of searches passes it
-    due = rows.where("after > before").select("task_id", "step", F.explode(F.sequence(F.col("before") + 1, F.col("after"))).alias("k"))
+    # a search stands before the step at which the number of searches passes it; each step gives a row for those and its own, without k
+    due = F.when(F.col("after") > F.col("before"), F.sequence(F.col("before") + 1, F.col("after"))).otherwise(F.array().cast("array<int>"))
+    rows = rows.select("task_id", "step", "name", "arguments", "content", note.alias("note"), F.explode(F.concat(due, F.array(F.lit(None).cast("int")))).alias("k"))
+    own = lambda c: F.when(F.col("k").isNull(), F.col(c)).alias(c)
+    rows = rows.select("task_id", "step", "k", *[own(c) for c in ("name", "arguments", "content", "note")])
     last = Window.partitionBy("task_id").orderBy("k")
     told = searches.withColumns({"_n": F.lag("n_lines").over(last), "_f": F.lag("n_files").over(last)})
     said = F.when(F.col("_n").isNull(), F.format_string(SEARCHED, "query")).otherwise(F.format_string(NARROWED, "_n", "_f", "query"))
-    put = due.join(told, ["task_id", "k"]).select("task_id", "step", "k", F.lit("search_repo").alias("name"), F.to_json(F.struct("query")).alias("arguments"), F.col("text").alias("content"), said.alias("note"))
+    told = told.select("task_id", "k", F.to_json(F.struct("query")).alias("_arguments"), F.col("text").alias("_content"), said.alias("_note"))
+    either = lambda c, other: F.when(F.col("k").isNull(), F.col(c)).otherwise(other).alias(c)
+    rows = rows.join(told, ["task_id", "k"], "left").select("task_id", "step", "k", either("name", F.lit("search_repo")), *[either(c, F.col(f"_{c}")) for c in ("arguments", "content", "note")])
     call = F.row_number().over(Window.partitionBy("task_id").orderBy("step", F.col("k").asc_nulls_last())) - 1
     note = F.translate("note", "{}", "()") if reasoning else F.lit(None).cast("string")
-    return own.unionByName(put).select("task_id", call.alias("call"), "name", "arguments", "content", note.alias("note"))
+    return rows.select("task_id", call.alias("call"), "name", "arguments", "content", note.alias("note"))
 
 
 def messages_of(merged: DataFrame) -> DataFrame:
@@ -148,7 +151,7 @@ def augment(records: DataFrame, history: History, reasoning: bool = True, leaks:
     leaks: words that no row may hold, in any case.
     """
     steps = steps_of(records)
-    reads = reads_of(steps)
+    reads = history.keep(reads_of(steps), "reads")
     tasks = records.select("task_id", "repo", "seq", F.coalesce("issue", F.lit("")).alias("issue"), F.coalesce("diff", F.lit("")).alias("diff"))
     searches = history.keep(plan_searches(tasks, reads, history, two_step), "searches")
     queries = searches.groupBy("task_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "query"))), lambda s: s["query"]).alias("search_queries"))

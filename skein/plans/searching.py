@@ -80,10 +80,12 @@ def _records(t) -> DataFrame:
     edit = F.to_json(F.struct(path.alias("path"), F.lit("@@ -1,2 +1,2 @@\n-a\n+b\n+c\n").alias("diff")))
     status = F.when(F.col("text").contains("x"), "status=pass").otherwise("status=fail")
     messages = F.array(
-        said("system", F.lit("You fix it.")), said("user", issue), call("read_file", arguments(path)), seen(F.lit("1: a")), call("read_file", arguments(other)),
-        seen(F.lit("1: b")), call("edit_file", edit), seen(F.lit("ok")), call("run_tests", F.lit("{}")), seen(status), call("submit", F.lit("{}")), seen(F.lit("done")),
+        said("system", F.lit("You fix it.")), said("user", F.col("issue")), call("read_file", arguments(path)), seen(F.lit("1: a")), call("read_file", arguments(other)),
+        seen(F.lit("1: b")), call("edit_file", edit), seen(F.lit("ok")), call("run_tests", F.lit("{}")), seen(F.col("status")), call("submit", F.lit("{}")), seen(F.lit("done")),
     )
-    return t("documents").select(F.col("doc_id").alias("task_id"), F.col("source").alias("repo"), F.col("doc_id").alias("seq"), issue.alias("issue"), F.lit("").alias("diff"), messages.alias("messages"))
+    rows = t("documents").select("doc_id", "source", "lang", issue.alias("issue"), status.alias("status"))
+    records = rows.select(F.col("doc_id").alias("task_id"), F.col("source").alias("repo"), F.col("doc_id").alias("seq"), "issue", F.lit("").alias("diff"), messages.alias("messages"))
+    return stored(records, "records")  # a task's table, which several plans read: made of the texts once
 
 
 PLAN = f"""{SPANS}
@@ -140,8 +142,11 @@ union all select doc_id, 'no_discoverable_query', null, null, null, null, null f
 )
 def augmented_transcripts(t):
     out = augment.augment(_records(t), History(_history(t), stored), leaks=("nobody-has-this",))
-    call = F.element_at("m.tool_calls", 1)
-    rows = out.select("task_id", "status", F.posexplode_outer("messages").alias("i", "m")).withColumn("at", F.col("i") - 2).where("m is null or i >= 2")
-    asked = rows.where("m is null or at % 2 = 0").select("task_id", "status", (F.col("at") / 2).cast("int").alias("call"), call["function"]["name"].alias("name"), call["function"]["arguments"].alias("arguments"), F.col("m.content").alias("note"))
-    seen = rows.where("at % 2 = 1").select("task_id", F.regexp_extract("m.tool_call_id", r"^call_(\d+)$", 1).cast("int").alias("call"), F.md5("m.content").alias("content"))
-    return asked.join(seen, ["task_id", "call"], "left").withColumnRenamed("task_id", "doc_id")
+    pairs = F.filter("messages", lambda m: m["role"].isin("assistant", "tool"))
+    rows = out.select("task_id", "status", pairs.alias("m"))
+    part = lambda i: F.get(F.col("m"), i)
+    function = lambda i: F.get(part(2 * i)["tool_calls"], F.lit(0))["function"]
+    answer = lambda i: F.when(part(2 * i + 1)["tool_call_id"] == F.format_string("call_%d", i), part(2 * i + 1)["content"])
+    said = lambda i: F.struct(i.alias("call"), function(i)["name"].alias("name"), function(i)["arguments"].alias("arguments"), F.md5(answer(i)).alias("content"), part(2 * i)["content"].alias("note"))
+    calls = F.when(F.size("m") > 1, F.transform(F.sequence(F.lit(0), F.floor(F.size("m") / 2).cast("int") - 1), said))
+    return rows.select(F.col("task_id").alias("doc_id"), "status", F.explode_outer(calls).alias("c")).select("doc_id", "status", "c.*")

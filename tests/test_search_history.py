@@ -275,3 +275,46 @@ def test_augmentation_keeps_texts_of_chosen_searches_alone(spark):
     assert [(r["status"], r["meta"]["search_queries"]) for r in rows] == [("ok", ["Widget_core"])]
     assert {name for name, df in keep.tables.items() if "text" in df.columns} == {"searches"} and keep.tables["searches"].count() == 1
     assert "trigram" not in {c for df in keep.tables.values() for c in df.columns}
+
+
+def test_augmented_transcripts_make_records_of_the_texts_once(spark):
+    from pyspark.sql import functions as F
+
+    from skein.plans import searching
+
+    n, read = 40, spark.sparkContext.accumulator(0)
+
+    def passed(text):
+        read.add(1)
+        return text
+
+    rows = [(i, "r", "en", f"shared{i % 3} wide words stand here\n" + "word " * i + f"more{i % 7} text of some length, long enough") for i in range(n)]
+    documents = spark.createDataFrame(rows, "doc_id long, source string, lang string, text string").withColumn("text", F.udf(passed, "string")("text"))
+    got = searching.augmented_transcripts(lambda name: documents).collect()
+    assert {r["doc_id"] for r in got} == set(range(n)) and {r["status"] for r in got} == {"ok"}
+    assert read.value <= 4 * n  # changes, texts of hits, those of searches, records
+
+
+def test_a_step_takes_several_searches_and_calls_are_numbered_over_both(spark):
+    found = lambda k, query, *files: ("t", k, query, 9, len(files), [{"path": p, "first_line": n} for p, n in files], f"text {k}")
+    searches = spark.createDataFrame(
+        [found(1, "one", ("a", 3)), found(2, "two", ("b", 5), ("a", 7)), found(3, "three", ("c", 1))], "task_id string, k int, query string, n_lines int, n_files int, files array<struct<path: string, first_line: long>>, text string"
+    )
+    steps = spark.createDataFrame([(t, i, "read_file", f'{{"path": "{p}"}}', f"seen {p}") for t in ("t", "u") for i, p in enumerate("bazb")], "task_id string, step int, name string, arguments string, content string")
+    rows = sorted(tuple(r) for r in augment.merged_steps(steps, searches).collect())
+    assert [(t, c, n, content) for t, c, n, _, content, _ in rows] == [
+        ("t", 0, "search_repo", "text 1"), ("t", 1, "search_repo", "text 2"), ("t", 2, "read_file", "seen b"), ("t", 3, "read_file", "seen a"),
+        ("t", 4, "search_repo", "text 3"), ("t", 5, "read_file", "seen z"), ("t", 6, "read_file", "seen b"), *[("u", i, "read_file", f"seen {p}") for i, p in enumerate("bazb")],
+    ]
+    where = [x[5].split("`")[2][:9] for x in rows if x[0] == "t" and x[2] == "read_file"]
+    assert where == [" (line 5)", " (line 7)", ". Reading", ". Reading"]
+
+
+def test_a_search_that_serves_two_reads_is_planned_twice_and_no_more(spark):
+    files = [("r", "a.py", 1, "wide_name\n"), ("r", "b.py", 1, "x\nwide_name\n")]
+    steps = [("read_file", f'{{"path": "{p}.py"}}', p) for p in "ab"]
+    h = history.History(spark.createDataFrame(files, SCHEMA), stored)
+    row = augment.augment(spark.createDataFrame([record("t", "`wide_name`", steps)], RECORD), h).collect()[0]
+    assert row["meta"]["search_queries"] == ["wide_name", "wide_name"]
+    # the first shows both files, so the second is not needed
+    assert [(n, content) for n, _, _, content in told(row)] == [("search_repo", "a.py:1: wide_name\nb.py:2: wide_name"), ("read_file", "a"), ("read_file", "b")]
